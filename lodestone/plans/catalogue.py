@@ -1,3 +1,162 @@
-"""Registered queries of the table operators."""
-QUERIES = {}
-ORACLE_SQL = {}
+"""Registered queries of the table and track operators, each with its DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import table as T
+from ..operators import tracks as K
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def _query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _rounded(df, *names):
+    for n in names:
+        df = df.withColumn(n, F.round(n, 6))
+    return df
+
+
+def _fixes(spark, sf_dir):
+    """Events as fixes: planar coordinates from their ids, time in seconds."""
+    e = _read(spark, sf_dir, "events")
+    return e.select(
+        "event_id", "user_id", "value", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("t"),
+        ((F.col("event_id") * 37) % 1000).cast("double").alias("x"), ((F.col("event_id") * 91) % 1000).cast("double").alias("y"),
+    )
+
+
+FIXES = """e AS (SELECT event_id, user_id, value, CAST(floor(epoch(ts)) AS DOUBLE) AS t,
+ CAST(event_id * 37 % 1000 AS DOUBLE) AS x, CAST(event_id * 91 % 1000 AS DOUBLE) AS y FROM events)"""
+
+
+@_query("""SELECT l_returnflag, l_linestatus, count(*) AS count, round(sum(l_quantity), 6) AS l_quantity_sum, round(avg(l_extendedprice), 6) AS l_extendedprice_mean,
+ min(l_discount) AS l_discount_min, max(l_tax) AS l_tax_max, round(stddev_samp(l_quantity), 6) AS l_quantity_std FROM lineitem GROUP BY ALL""")
+def summary_statistics(spark, sf_dir):
+    stats = [("l_quantity", "sum"), ("l_extendedprice", "mean"), ("l_discount", "min"), ("l_tax", "max"), ("l_quantity", "std")]
+    out = T.summary_statistics(_read(spark, sf_dir, "lineitem"), stats, ["l_returnflag", "l_linestatus"])
+    return _rounded(out, "l_quantity_sum", "l_extendedprice_mean", "l_quantity_std")
+
+
+@_query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1""")
+def pivot_table(spark, sf_dir):
+    out = T.pivot_table(_read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus", "o_totalprice", "o_orderkey", "count")
+    for c in "FOP":
+        out = out if c in out.columns else out.withColumn(c, F.lit(0).cast("long"))
+    return out.select("o_orderpriority", "F", "O", "P")
+
+
+@_query("""SELECT p_partkey, 'p_size' AS FIELD, CAST(p_size AS DOUBLE) AS VALUE FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part""")
+def transpose_fields(spark, sf_dir):
+    return T.transpose_fields(_read(spark, sf_dir, "part"), ["p_size", "p_retailprice"], ["p_partkey"])
+
+
+@_query("""SELECT c_custkey, c_mktsegment, c_acctbal, row_number() OVER (ORDER BY c_mktsegment NULLS FIRST, c_acctbal DESC NULLS LAST, c_custkey) AS rank FROM customer""")
+def sort_features(spark, sf_dir):
+    df = _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return T.sort_features(df, [("c_mktsegment", True), ("c_acctbal", False)], "c_custkey", "rank")
+
+
+@_query("""SELECT p_partkey, p_brand, p_size, dense_rank() OVER (ORDER BY f) - 1 AS dup_group, dup_seq FROM (SELECT p_partkey, p_brand, p_size,
+ min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS f, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) - 1 AS dup_seq FROM part)""")
+def find_identical(spark, sf_dir):
+    return T.find_identical(_read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand", "p_size"], "p_partkey")
+
+
+@_query("""WITH b AS (SELECT quantile_cont(o_totalprice, [0.2, 0.4, 0.6, 0.8]) AS b FROM orders)
+ SELECT o_orderkey, CAST(1 + len(list_filter(b, lambda c: o_totalprice > c)) AS BIGINT) AS class FROM orders, b""")
+def reclassify_field(spark, sf_dir):
+    return T.reclassify_field(_read(spark, sf_dir, "orders"), "o_totalprice", "quantile", classes=5).select("o_orderkey", "class")
+
+
+@_query("""SELECT s_suppkey, round((s_acctbal - avg(s_acctbal) OVER ()) / stddev_samp(s_acctbal) OVER (), 6) AS s_acctbal_z FROM supplier""")
+def transform_fields(spark, sf_dir):
+    return _rounded(T.transform_fields(_read(spark, sf_dir, "supplier"), ["s_acctbal"], "zscore").select("s_suppkey", "s_acctbal_z"), "s_acctbal_z")
+
+
+@_query("""WITH s AS (SELECT p_partkey, (p_size - min(p_size) OVER ()) / CAST(max(p_size) OVER () - min(p_size) OVER () AS DOUBLE) AS a,
+ (p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) AS b FROM part), i AS (SELECT *, (a * 1.0::DOUBLE + b * 1.0::DOUBLE) / 2 AS i FROM s),
+ r AS (SELECT *, row_number() OVER (ORDER BY i DESC, p_partkey) AS k FROM i)
+ SELECT p_partkey, round(a, 6) AS p_size_scaled, round(b, 6) AS p_retailprice_scaled, round(i, 6) AS "index", k AS index_rank, round(100.0::DOUBLE * (1 - (k - 1) / CAST(count(*) OVER () - 1 AS DOUBLE)), 6) AS index_pctl FROM r""")
+def calculate_composite_index(spark, sf_dir):
+    out = T.calculate_composite_index(_read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], "p_partkey")
+    return _rounded(out.drop("p_size", "p_retailprice"), "p_size_scaled", "p_retailprice_scaled", "index", "index_pctl")
+
+
+@_query("""WITH d AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS o, count(*) AS p FROM lineitem GROUP BY 1), g AS (SELECT sum(o) / sum(p)::DOUBLE AS m, sum(p)::DOUBLE AS sp, count(*) AS n FROM d),
+ v AS (SELECT m, greatest(sum(p * (o / p::DOUBLE - m) ** 2) / any_value(sp) - m / (any_value(sp) / any_value(n)), 0) AS a FROM d, g GROUP BY m)
+ SELECT l_suppkey, o, p, round(o / p::DOUBLE * 1000, 6) AS crude_rate, round((a / (a + m / p) * (o / p::DOUBLE) + (1 - a / (a + m / p)) * m) * 1000, 6) AS smooth_rate, round(sqrt(o) / p * 1000, 6) AS rate_se FROM d, v""")
+def calculate_rates(spark, sf_dir):
+    df = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("o"), F.count("*").alias("p"))
+    return _rounded(T.calculate_rates(df, "o", "p", 1000.0), "crude_rate", "smooth_rate", "rate_se")
+
+
+@_query("""WITH z AS (SELECT p_partkey, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS a, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () AS b, p_brand FROM part),
+ g AS (SELECT avg(a) AS ga, avg(b) AS gb FROM z WHERE p_partkey <= 3), s AS (SELECT p_partkey, sqrt((a - ga) ** 2 + (b - gb) ** 2) AS s FROM z, g WHERE p_partkey > 3)
+ SELECT p_partkey, round(s, 6) AS sim_score, row_number() OVER (ORDER BY s, p_partkey) AS sim_rank FROM s ORDER BY s, p_partkey LIMIT 10""")
+def similarity_search(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    out = T.similarity_search(part.where("p_partkey <= 3"), part.where("p_partkey > 3"), ["p_size", "p_retailprice"], "p_partkey")
+    return _rounded(out.select("p_partkey", "sim_score", "sim_rank"), "sim_score")
+
+
+@_query(f"WITH {FIXES} SELECT event_id, user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS end_time FROM e")
+def calculate_end_time(spark, sf_dir):
+    return T.calculate_end_time(_fixes(spark, sf_dir), "t", ["user_id"], "event_id").select("event_id", "user_id", "t", "end_time")
+
+
+@_query("""WITH a AS (SELECT o_orderpriority AS km_stratum, floor(o_totalprice / 10000) AS t, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS d FROM orders GROUP BY ALL),
+ r AS (SELECT *, sum(n) OVER (PARTITION BY km_stratum ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS risk FROM a)
+ SELECT km_stratum, t, CAST(risk AS BIGINT) AS risk, d, round(CASE WHEN max(CAST(d >= risk AS INT)) OVER w = 1 THEN 0.0::DOUBLE ELSE exp(sum(CASE WHEN d < risk THEN ln(1 - d / risk::DOUBLE) END) OVER w) END, 6) AS km_survival
+ FROM r WHERE d > 0 WINDOW w AS (PARTITION BY km_stratum ORDER BY t)""")
+def estimate_time_to_event(spark, sf_dir):
+    df = _read(spark, sf_dir, "orders").select("o_orderpriority", F.floor(F.col("o_totalprice") / 10000).alias("age"), (F.col("o_orderstatus") == "F").cast("int").alias("e"))
+    return _rounded(T.estimate_time_to_event(df, "age", "e", "o_orderpriority"), "km_survival")
+
+
+_W = "WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)"
+_D = "sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2)"
+
+
+@_query(f"""WITH {FIXES}, d AS (SELECT event_id, row_number() OVER w - 1 AS seq, coalesce({_D}, 0) AS dist, coalesce(t - lag(t) OVER w, 0) AS dt, t - first(t) OVER w AS elapsed, user_id, t FROM e {_W}),
+ s AS (SELECT *, CASE WHEN dt > 0 THEN dist / dt ELSE 0 END AS speed, sum(dist) OVER w AS cum FROM d {_W})
+ SELECT event_id, seq, round(dist, 6) AS dist, dt, round(cum, 6) AS cum_dist, elapsed, round(speed, 6) AS speed, round(CASE WHEN dt > 0 AND seq > 0 THEN (speed - lag(speed) OVER w) / dt ELSE 0 END, 6) + 0.0::DOUBLE AS accel FROM s {_W}""")
+def calculate_motion_statistics(spark, sf_dir):
+    out = K.calculate_motion_statistics(_fixes(spark, sf_dir), "user_id", "t", "x", "y", "event_id")
+    return _rounded(out.select("event_id", "seq", "dist", "dt", "cum_dist", "elapsed", "speed", "accel"), "dist", "cum_dist", "speed", "accel").withColumn("accel", F.col("accel") + 0.0)
+
+
+@_query(f"""WITH {FIXES}, d AS (SELECT *, {_D} AS d, coalesce(t - lag(t) OVER w > 86400, false) AS cut FROM e {_W}), s AS (SELECT *, CAST(sum(CAST(cut AS BIGINT)) OVER w AS BIGINT) AS segment FROM d {_W}),
+ g AS (SELECT user_id AS track_id, segment, count(*) AS n_points, min(t) AS start_t, max(t) AS end_t, coalesce(sum(CASE WHEN NOT cut THEN d END), 0) AS length FROM s GROUP BY ALL HAVING count(*) > 1)
+ SELECT track_id, segment, n_points, start_t, end_t, end_t - start_t AS duration, round(length, 6) AS length, round(CASE WHEN end_t > start_t THEN length / (end_t - start_t) ELSE 0 END, 6) AS mean_speed FROM g""")
+def reconstruct_tracks(spark, sf_dir):
+    return _rounded(K.reconstruct_tracks(_fixes(spark, sf_dir), "user_id", "t", "x", "y", "event_id", time_gap=86400), "length", "mean_speed")
+
+
+@_query(f"WITH {FIXES} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smoothed FROM e")
+def time_series_smoothing(spark, sf_dir):
+    return _rounded(K.time_series_smoothing(_fixes(spark, sf_dir), "value", "t", "user_id", "event_id").select("event_id", "smoothed"), "smoothed")
+
+
+@_query(f"""WITH {FIXES}, f AS (SELECT *, coalesce(value > 50, false) AS c, coalesce(value > 50, false) AND NOT coalesce(lag(coalesce(value > 50, false)) OVER w, false) AS s FROM e {_W}),
+ q AS (SELECT *, CAST(sum(CAST(s AS BIGINT)) OVER w AS BIGINT) AS incident_seq FROM f {_W})
+ SELECT user_id AS track_id, incident_seq, count(*) AS n_points, min(t) AS start_t, max(t) AS end_t, max(t) - min(t) AS duration FROM q WHERE c GROUP BY ALL""")
+def detect_incidents(spark, sf_dir):
+    return K.detect_incidents(_fixes(spark, sf_dir), "user_id", "t", "value > 50", "event_id")
+
+
+@_query(f"WITH {FIXES} SELECT round(x / 50) AS kx, round(y / 50) AS ky, arg_min(x, event_id) AS x, arg_min(y, event_id) AS y, count(*) AS ICOUNT FROM e GROUP BY 1, 2")
+def collect_events(spark, sf_dir):
+    return K.collect_events(_fixes(spark, sf_dir), "x", "y", "event_id", 50.0)
