@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import exact_dedup, html_extract, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, warc
+from . import exact_dedup, html_extract, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1,
     "op2_quality_classifier": quality_classifier.op2,
     "op3_mixing": mixing.op3,
     "op4_ngram_jaccard": ngram_jaccard.op4,
