@@ -1,6 +1,7 @@
 """Packing documents into windows of at most 4096 tokens, best-fit decreasing.
 
-Every whole text is tokenised once; overlong documents are first cut into full windows, each a
+Every whole text is tokenised once, each distinct word once per task where the vocabulary drops
+white space and so takes words one by one; overlong documents are first cut into full windows, each a
 sequence of its own, and the remainders are packed by a segment tree over remaining capacities
 that finds the tightest open window. Packing runs in groups of a set number of remainders
 dealt by hash, so a task's memory is fixed and no group follows a key of the data; a group's
@@ -10,7 +11,9 @@ rows are packed each for itself.
 
 from __future__ import annotations
 
+import struct
 import zlib
+from itertools import chain
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,10 @@ END = 2
 GROUP = 50_000
 #: Characters tokenised at a time.
 CHUNK = 1 << 20
+#: Words whose ids a task remembers before it starts anew.
+WORDS = 1_000_000
+#: Between words encoded as one text, and how many of them.
+MARK, JOINED = "\x1d", 2048
 
 
 def default_vocabulary() -> str:
@@ -34,6 +41,52 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Encoder:
+    """Whole texts to their ids, little-endian 32-bit.
+
+    ``word_wise`` holds for vocabularies that drop white space and join nothing across it: the ids
+    of a text are then those of its words in turn. Others encode each text as one string."""
+
+    def __init__(self, vocabulary: str, word_wise: bool, words: int = WORDS):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.word_wise, self.words, self.known = word_wise, words, {}
+
+    def _ids(self, strings: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+
+    def _word_ids(self, strings: list[str]) -> list[bytes]:
+        """The ids of each word: many are encoded as one text, with a mark between them whose id no
+        other character gives. Words that hold the mark are encoded alone."""
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        plain = [w for w in strings if MARK not in w]
+        if len(mark) != 1 or len(plain) < len(strings):
+            found = dict(zip(rest := [w for w in strings if len(mark) != 1 or MARK in w], self._ids(rest)))
+            plain = [w for w in plain if w not in found]
+        else:
+            found = {}
+        for a in range(0, len(plain), JOINED):
+            part = plain[a : a + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [-1, *np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
+            data = ids.tobytes()
+            found.update((w, data[4 * x + 4 : 4 * y]) for w, x, y in zip(part, cuts, cuts[1:]))
+        return [found[w] for w in strings]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.word_wise:
+            return self._ids(texts)
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        seen = set(chain.from_iterable(split))
+        new = list(seen.difference(self.known))
+        if len(self.known) + len(new) > self.words:
+            self.known, new = {}, list(seen)
+        self.known.update(zip(new, self._word_ids(new)))
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+
+
 class Capacities:
     """Open windows by remaining capacity: a segment tree of counts over 0..size."""
 
@@ -83,25 +136,26 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> tuple[list[
     return at, offsets
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece of at most a window."""
+def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, word_wise: bool | None = None) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens of every piece of at most a window.
+
+    ``word_wise`` as in Encoder; by default it holds for the default vocabulary alone."""
+    word_wise = vocabulary is None if word_wise is None else word_wise
     vocabulary = vocabulary or default_vocabulary()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
+        encode, end = Encoder(vocabulary, word_wise), struct.pack("<I", END)
 
         def encoded(rows):
             out = []
-            for doc_id, e in zip([r[0] for r in rows], tokenizer.encode_batch([r[1] for r in rows], add_special_tokens=False)):
-                ids = np.array([*e.ids, END], "<u4")
-                for s in range(0, len(ids), window):
-                    part = ids[s : s + window]
-                    out.append((doc_id, s, len(part), zlib.crc32(part.tobytes()), len(ids)))
+            for (doc_id, _), ids in zip(rows, encode([r[1] for r in rows])):
+                ids += end
+                for s in range(0, len(ids), 4 * window):
+                    part = ids[s : s + 4 * window]
+                    out.append((doc_id, s // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
             return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
 
         for batch in batches:

@@ -151,3 +151,18 @@ def test_classifier_learns_held_out_rows(spark):
 @pytest.mark.parametrize("f", [exact_dedup.groups, ngram_jaccard.join, mixing.mix, packing.pack, secret_scan.scan, substring_dedup.dedup, quality_rules.ledger])
 def test_empty_tables(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_word_wise_ids_equal_those_of_whole_texts():
+    import random
+    import struct
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    draw = random.Random(1)
+    parts = ["a", "\x1d", "Σ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "́", "​", "　", "ᄀ", "ᅡ", "'s", "12", "<|endoftext|>", "İ", "!?", "\x00"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 9))) for _ in range(3000)]
+    encode = packing.Encoder(packing.default_vocabulary(), True, words=50)
+    got = [x for a in range(0, len(texts), 20) for x in encode(texts[a : a + 20])]
+    assert got == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
