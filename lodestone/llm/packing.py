@@ -1,6 +1,6 @@
 """Packing documents into windows of at most 4096 tokens, best-fit decreasing.
 
-Every whole text is tokenised once, each distinct word once per task where the vocabulary drops
+Every whole text is tokenised once, each distinct word once per Python worker where the vocabulary drops
 white space and so takes words one by one; overlong documents are first cut into full windows, each a
 sequence of its own, and the remainders are packed by a segment tree over remaining capacities
 that finds the tightest open window. Packing runs in groups of a set number of remainders
@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import struct
 import zlib
-from itertools import chain
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -87,6 +88,12 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str, word_wise: bool) -> Encoder:
+    """The Python worker's encoder: the next tasks it is given find the words of the ones before."""
+    return Encoder(vocabulary, word_wise)
+
+
 class Capacities:
     """Open windows by remaining capacity: a segment tree of counts over 0..size."""
 
@@ -147,7 +154,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = Encoder(vocabulary, word_wise), struct.pack("<I", END)
+        encode, end = encoder(vocabulary, word_wise), struct.pack("<I", END)
 
         def encoded(rows):
             out = []
