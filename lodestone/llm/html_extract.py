@@ -1,15 +1,18 @@
 """Main text of web pages, with template lines found by nearest-URL page differencing.
 
-Pages are paired by URL path within each host: sorted by host and path, each page is compared
-with the one before and the one after it. Both pages' lines are aligned by their longest common
-subsequence, and the shared lines, the template's, are deleted. Lines inside the page's
-article or main element are its content by its own markup, and stay even where a copy of
-the page shares them; pages without such an element rely on the differencing. Markup, scripts,
+Pages are paired by URL path within each host: sorted by host, path and page_id, neighbours with
+the same lines form a run, and each page of it is compared with the nearest page before and the
+nearest page after the run, which differ from it. Both pages' lines are aligned by their longest
+common subsequence, and the shared lines, the template's, are deleted. Lines inside the page's
+article or main element are its content by its own markup, and stay even where another page
+shares them; pages without such an element rely on the differencing. Markup, scripts,
 styles, forms, menus, headers, footers, sidebars, notices, adverts and comments go first.
 
-Pages are range-sorted by host, path and page_id, so a hot host fills several ranges; the first
-and last page of a range have one neighbour. Lines are compared by 64-bit digests. Null html is empty and gives an empty text; a null url is a host
-of its own; repeated rows are neighbours like any others, told apart by page_id and order.
+Pages are dealt by sampled splitters of the sort order, so a hot host fills several ranges. A first
+pass parses the pages for the digests of their lines alone and finds what each range needs from beyond
+its borders, however far away; the result is thus the same for any splitters. Lines are compared by
+64-bit digests. Null html is empty and gives an empty text; a null url is of the host "";
+repeated rows are pages of their own.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ MAIN = {"article", "main"}
 #: Words of a class or id that mark boilerplate.
 BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo|sponsor(?:ed)?|cookies?|consent|notice|popup|modal|newsletter|subscribe|nav|navbar|menu|breadcrumbs?|sidebar|footer|header|masthead|share|social|related|comments?|comment-list|disqus|replies|widget)(?:$|[\s_-])", re.I)
 SPACES = re.compile(r"\s+")
+#: Sampled pages per range, and pages returned in one frame.
+SAMPLED, ROWS = 50, 1000
 
 
 class _Blocks(HTMLParser):
@@ -125,49 +130,130 @@ def _digest(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def subtract(page: tuple, others: list[tuple]) -> str:
-    """The page's text without the lines it shares with its neighbours."""
-    lines, keys, _ = page
+def subtract(lines: list[str], main: tuple, keys: list[int], others: list) -> str:
+    """A page's text without the lines it shares with its neighbours; ``others`` are their digests."""
     gone: set[int] = set()
-    for other, theirs, _ in others:
-        if theirs != keys:
+    for theirs in others:
+        if theirs is not None:
             gone |= shared_lines(keys, theirs)
-    return "\n".join(x for i, (x, main) in enumerate(lines) if main or i not in gone)
+    return "\n".join(x for i, (x, own) in enumerate(zip(lines, main)) if own or i not in gone)
+
+
+def _splitters(spark: SparkSession, order: DataFrame, n: int) -> list:
+    """At most n - 1 rows that cut the sort order evenly, of a sample on the driver."""
+    wanted = SAMPLED * n
+    sample = order.sample(min(1.0, wanted / max(1, order.count())), seed=7)
+    found = sample.orderBy(*order.columns).limit(2 * wanted).collect()
+    return [found[k * len(found) // n] for k in range(1, n)] if found else []
+
+
+def _borders(runs: dict[int, tuple[list, list]]) -> dict[int, tuple]:
+    """Per range the digests of the nearest different page before its first run and after its last.
+
+    ``runs`` has the (host, digests) of the first two and of the last two runs of each range."""
+
+    def nearest(parts, host, keys, side):
+        for part in parts:
+            for other, theirs in runs[part][side]:
+                if other != host:
+                    return None
+                if theirs != keys:
+                    return theirs
+        return None
+
+    parts = sorted(runs)
+    return {
+        part: (nearest(parts[:k][::-1], *runs[part][0][0], 1), nearest(parts[k + 1 :], *runs[part][1][0], 0))
+        for k, part in enumerate(parts)
+    }
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    spark = pages.sparkSession
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [[_digest(x) for x, _ in lines_of(html)] for html in batch["html"]]
+            yield batch.drop(columns="html").assign(keys=keys)
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, first, last = None, [], []
+
+        def summary():
+            rows = [(held, 0, k, *run) for k, run in enumerate(first)] + [(held, 1, k, *run) for k, run in enumerate(last[::-1])]
+            return pd.DataFrame(rows, columns=["range", "side", "place", "host", "keys"])
+
+        for batch in batches:
+            for part, host, keys in zip(batch["range"], batch["host"], batch["keys"]):
+                if part != held:
+                    if last:
+                        yield summary()
+                    held, first, last = part, [], []
+                run = (host, list(keys))
+                if not last or last[-1] != run:
+                    last = [*last[-1:], run]
+                    if len(first) < 2:
+                        first.append(run)
+        if last:
+            yield summary()
 
     def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def row(held, others):
-            page_id, url, page, host = held
-            return page_id, url, subtract(page, [o[2] for o in others if o and o[3] == host])
+        borders = shipped.value
+        part = host = before = keys = lines = None
+        rows, known = [], {}
+
+        def done(after):
+            texts = {main: subtract(lines, main, keys, [before, after]) for main in known}
+            return [(page_id, url, texts[main]) for page_id, url, main in rows]
 
-        def frame(rows):
-            out = pd.DataFrame(rows, columns=["page_id", "url", "text"]).astype({"page_id": "Int64"})
-            return out.assign(n_chars=out["text"].str.len().astype("int64"))
+        def frames(found):
+            for a in range(0, len(found), ROWS):
+                out = pd.DataFrame(found[a : a + ROWS], columns=["page_id", "url", "text"]).astype({"page_id": "Int64"})
+                yield out.assign(n_chars=out["text"].str.len().astype("int64"))
 
-        before = held = None
         for batch in batches:
-            rows = []
-            for page_id, url, html, host in zip(batch["page_id"], batch["url"], batch["html"], batch["host"]):
-                lines = lines_of(html)
-                now = (None if pd.isna(page_id) else int(page_id), url, (lines, [_digest(x) for x, _ in lines], None), host)
-                if held:
-                    rows.append(row(held, (before, now)))
-                before, held = held, now
-            if rows:
-                yield frame(rows)
-        if held:
-            yield frame([row(held, (before,))])
+            found = []
+            for new_part, new_host, page_id, url, html in zip(*(batch[c] for c in ("range", "host", "page_id", "url", "html"))):
+                blocks = lines_of(html)
+                new = [_digest(x) for x, _ in blocks]
+                if new_part != part or new_host != host or new != keys:
+                    if rows:
+                        found += done(borders[part][1] if new_part != part else new if new_host == host else None)
+                        if len(found) >= ROWS:
+                            yield from frames(found)
+                            found = []
+                    before = borders[new_part][0] if new_part != part else keys if new_host == host else None
+                    part, host, keys, lines, rows, known = new_part, new_host, new, [x for x, _ in blocks], [], {}
+                main = tuple(own for _, own in blocks)
+                rows.append((None if pd.isna(page_id) else int(page_id), url, known.setdefault(main, main)))
+            yield from frames(found)
+        if rows:
+            yield from frames(done(borders[part][1]))
 
     host = F.regexp_extract(F.lower("url"), r"^[a-z]+://(?:www\.|m\.)?([^/?#]*)", 1)
     path = F.regexp_replace(F.regexp_replace("url", r"^[A-Za-z]+://[^/?#]*", ""), r"[?#].*$", "")
     source = pages.select(
         F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"),
         F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"),
-    )
-    near = source.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    ).withColumn("tie", F.xxhash64("url", "html"))
+    order = ["host", "path", "page_id", "tie"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = _splitters(spark, source.select(*order), n)
+    types = dict(source.dtypes)
+    marks = F.array(*(F.struct(*(F.lit(row[c]).cast(types[c]).alias(c) for c in order)) for row in cuts))
+    here = F.size(F.filter(marks, lambda m: m <= F.struct(*order))) if cuts else F.lit(0)
+    dealt = source.withColumn("range", here)
+
+    small = dealt.select("range", *order, "html").mapInPandas(digests, "range int, host string, path string, page_id long, tie long, keys array<long>")
+    small = small.repartitionById(n, "range").sortWithinPartitions("range", *order)
+    runs: dict[int, tuple[list, list]] = {}
+    # At most four rows a range, without texts.
+    for r in sorted(small.mapInPandas(ends, "range int, side int, place int, host string, keys array<long>").collect(), key=lambda r: r.place):
+        runs.setdefault(r["range"], ([], []))[r.side].append((r.host, r["keys"]))
+    shipped = spark.sparkContext.broadcast(_borders(runs))
+
+    near = dealt.repartitionById(n, "range").sortWithinPartitions("range", *order)
     return near.mapInPandas(difference, "page_id long, url string, text string, n_chars long")
 
 

@@ -166,3 +166,23 @@ def test_word_wise_ids_equal_those_of_whole_texts():
     encode = packing.Encoder(packing.default_vocabulary(), True, words=50)
     got = [x for a in range(0, len(texts), 20) for x in encode(texts[a : a + 20])]
     assert got == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def _bare(*lines):
+    return "<body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"
+
+
+@pytest.mark.parametrize("ranges", ["1", "2", "3", "7", "20"])
+def test_html_differencing_reaches_past_copies_and_borders(spark, ranges):
+    rows = [(0, "http://a/p", _bare("top", "a0", "end"))]
+    rows += [(i, "http://a/q", _bare("top", "copy", "end")) for i in range(1, 31)]
+    rows += [(31, "http://a/r", _bare("top", "r31", "end")), (32, "http://b/p", _bare("top", "alone", "end"))]
+    rows += [(40 + i, f"http://c/{i:02}", _bare("head", f"own{i}", "foot")) for i in range(12)]
+    want = {0: "a0", **{i: "copy" for i in range(1, 31)}, 31: "r31", 32: "top\nalone\nend", **{40 + i: f"own{i}" for i in range(12)}}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
