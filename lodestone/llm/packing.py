@@ -5,14 +5,14 @@ white space and so takes words one by one; overlong documents are first cut into
 sequence of its own, and the remainders are packed by a segment tree over remaining capacities
 that finds the tightest open window. Packing runs in groups of a set number of remainders
 dealt by hash, so a task's memory is fixed and no group follows a key of the data; a group's
-padding is that of its last few windows. Null and empty texts are the end token alone. Repeated
+padding is that of its last few windows. Only lengths go to the packing; the ids are stored once with
+their pieces and joined to the placed ones. Null and empty texts are the end token alone. Repeated
 rows are packed each for itself.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -144,8 +144,9 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> tuple[list[
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, word_wise: bool | None = None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece of at most a window.
+    """doc_id, start, length, ids, doc_tokens of every piece of at most a window.
 
+    ``ids`` are little-endian 32-bit, the end token included.
     ``word_wise`` as in Encoder; by default it holds for the default vocabulary alone."""
     word_wise = vocabulary is None if word_wise is None else word_wise
     vocabulary = vocabulary or default_vocabulary()
@@ -162,8 +163,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
                 ids += end
                 for s in range(0, len(ids), 4 * window):
                     part = ids[s : s + 4 * window]
-                    out.append((doc_id, s // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
-            return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+                    out.append((doc_id, s // 4, len(part) // 4, part, len(ids) // 4))
+            return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens"]).astype({"doc_id": "Int64"})
 
         for batch in batches:
             rows, held = [], 0
@@ -177,13 +178,14 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
                 yield encoded(rows)
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+        cut, "doc_id long, start long, length long, ids binary, doc_tokens long"
     )
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """The pieces with sequence_id and offset."""
-    cut = stored(pieces(docs, vocabulary, window), "pieces")
+    """The pieces with their ids, ids_crc32, sequence_id and offset."""
+    made = pieces(docs, vocabulary, window).withColumn("ids_crc32", F.crc32("ids"))
+    cut = stored(made.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     n = max(1, -(-cut.count() // group))
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
@@ -191,12 +193,21 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, g
         at, offsets = best_fit_decreasing(part["length"].tolist(), window)
         part["sequence_id"] = (int(part["bin"].iloc[0]) << 32) + np.array(at, "int64")
         part["offset"] = np.array(offsets, "int64")
-        return part.drop(columns="bin")
+        return part[["piece", "sequence_id", "offset"]]
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    binned = cut.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n)))
-    return binned.groupBy("bin").applyInPandas(packed, schema)
+    binned = cut.select("piece", "doc_id", "start", "length", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n)).alias("bin"))
+    placed = binned.groupBy("bin").applyInPandas(packed, "piece long, sequence_id long, offset long")
+    return cut.join(placed, "piece").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
+
+
+def sequences(placed: DataFrame) -> DataFrame:
+    """sequence_id, length, ids of every packed window: the ids of its pieces in order."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    ids = F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
+    return placed.groupBy("sequence_id").agg(F.sum("length").alias("length"), ids.alias("ids"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+    placed = pack(table(spark, sf_dir, "documents")).select(*columns, F.crc32("ids").alias("ids_crc32"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

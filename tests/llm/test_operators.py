@@ -7,6 +7,8 @@ import zlib
 
 import pytest
 
+import corpus_pipeline
+
 from lodestone.llm import exact_dedup, html_extract, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
 from lodestone.llm.common import fresh_path
 
@@ -186,3 +188,21 @@ def test_html_differencing_reaches_past_copies_and_borders(spark, ranges):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+
+
+def test_packing_returns_the_ids_of_pieces_and_sequences(spark):
+    from tokenizers import Tokenizer
+
+    rows = [*texts(), "one"]
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    made = packing.pack(docs(spark, rows).union(docs(spark, rows[:4])), window=64).localCheckpoint()
+    got = made.collect()
+    assert len(got) == len({(r.sequence_id, r.offset) for r in got})
+    for r in got:
+        ids = [*t.encode(rows[r.doc_id] or "", add_special_tokens=False).ids, 2][r.start : r.start + r.length]
+        assert r.ids == b"".join(i.to_bytes(4, "little") for i in ids)
+    want = {}
+    for r in sorted(got, key=lambda r: r.offset):
+        want[r.sequence_id] = want.get(r.sequence_id, b"") + r.ids
+    assert {r.sequence_id: (r.length, r.ids) for r in packing.sequences(made).collect()} == {k: (len(v) // 4, bytes(v)) for k, v in want.items()}
+    assert corpus_pipeline.packed(spark, docs(spark, rows[:3]), "").where("octet_length(ids) = 4 * length").count() == 3
