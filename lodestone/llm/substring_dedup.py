@@ -13,7 +13,6 @@ neither before nor after any other. Texts below 50 bytes stay whole.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,7 +80,10 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    """doc_id, spans, kept, n_bytes, n_removed, n_spans, kept_sha256 of every document.
+
+    ``spans`` are the removed byte ranges (start, end) of the UTF-8 text in order, ``kept`` the bytes
+    outside them; a range may begin or end within a character."""
     rows = _rows(docs)
     ids = ["doc_id", "k"]
 
@@ -113,10 +115,10 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     edge[at] += 1
                     np.add.at(edge, at + length, -1)
                 gone = np.cumsum(edge)[:-1] > 0
-                spans = int(np.sum(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
-                kept = hashlib.sha256(data[~gone].tobytes()).hexdigest()
-                out.append((None if pd.isna(doc_id) else int(doc_id), len(data), int(gone.sum()), spans, kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+                turns = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype("int8"))).tolist()
+                spans = [{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2])]
+                out.append((None if pd.isna(doc_id) else int(doc_id), spans, data[~gone].tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "spans", "kept"]).astype({"doc_id": "Int64"})
 
     seen = stored(rows.mapInPandas(named, "name long, doc_id long, k long"), "names")
     shared = seen.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
@@ -124,10 +126,21 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = stored(rows.join(wanted, ids).mapInPandas(windows, "a long, b long, doc_id long, k long, at long"), "windows")
     first = found.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
     starts = found.join(first, ["a", "b"]).where("doc_id > lo").groupBy(*ids).agg(F.collect_set("at").alias("starts"))
-    return rows.join(starts, ids, "left").select("doc_id", "text", "starts").mapInPandas(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    left = rows.join(starts, ids, "left").select("doc_id", "text", "starts").mapInPandas(
+        cut, "doc_id long, spans array<struct<start: long, end: long>>, kept binary"
     )
+    return digests(left)
+
+
+def digests(left: DataFrame) -> DataFrame:
+    """``left`` with n_bytes, n_removed, n_spans and kept_sha256 of its spans and kept bytes."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return left.withColumn("n_removed", removed).select(
+        "doc_id", "spans", "kept",
+        (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed",
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents"))
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -206,3 +206,15 @@ def test_packing_returns_the_ids_of_pieces_and_sequences(spark):
         want[r.sequence_id] = want.get(r.sequence_id, b"") + r.ids
     assert {r.sequence_id: (r.length, r.ids) for r in packing.sequences(made).collect()} == {k: (len(v) // 4, bytes(v)) for k, v in want.items()}
     assert corpus_pipeline.packed(spark, docs(spark, rows[:3]), "").where("octet_length(ids) = 4 * length").count() == 3
+
+
+def test_substring_dedup_returns_spans_and_kept_bytes(spark):
+    shared, other = "shared passage of sixty bytes or so, to be found twice over é" * 2, "another passage that is also found in the first of them all"
+    rows = [f"one {shared} two {other} three", f"{other} four {shared} five", None, "short"]
+    got = {r.doc_id: r for r in substring_dedup.dedup(docs(spark, rows)).collect()}
+    for i, t in enumerate(rows):
+        data, r = (t or "").encode(), got[i]
+        edges = [0, *(x for s in r.spans for x in (s.start, s.end)), len(data)]
+        assert edges == sorted(edges) and r.kept == b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(data), len(data) - len(r.kept), len(r.spans))
+    assert got[0].spans == [] and got[1].kept == b"fourfive" and len(got[1].spans) == 2
