@@ -33,37 +33,83 @@ DROPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "f
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 MAIN = {"article", "main"}
-#: Words of a class or id that mark boilerplate.
-BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo|sponsor(?:ed)?|cookies?|consent|notice|popup|modal|newsletter|subscribe|nav|navbar|menu|breadcrumbs?|sidebar|footer|header|masthead|share|social|related|comments?|comment-list|disqus|replies|widget)(?:$|[\s_-])", re.I)
+#: Elements that leave an open head open.
+HEAD = {"head", "base", "link", "meta", "title", "noscript", "script", "style", "template"}
+#: A class, id or role that is made of such words alone marks boilerplate.
+_WORD = r"(?:ads?|adverts?|advertisement|banner|promo|sponsor(?:ed)?|cookies?|consent|notice|popup|modal|newsletter|subscribe|nav|navbar|menu|breadcrumbs?|sidebar|footer|header|masthead|share|social|related|comments?|list|disqus|replies|widget)"
+BOILER = re.compile(rf"(?!list$){_WORD}(?:[_-]+{_WORD})*", re.I)
 SPACES = re.compile(r"\s+")
 #: Sampled pages per range, and pages returned in one frame.
 SAMPLED, ROWS = 50, 1000
 
 
 class _Blocks(HTMLParser):
+    """Blocks of text. What a class, id or role or a form tag would drop is dropped in the end only,
+    as the element stays when it turns out to hold the article or main element."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []
-        self.skip = self.main = 0
-        self.text: list[str] = []
-        self.blocks: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, bool, int]] = []
+        self.skip = self.main = self.articles = self.marked = 0
+        self.doubtful: tuple[int, ...] = ()
+        self.kept: set[int] = set()
+        self.text: list[tuple[str, tuple]] = []
+        self.raw: list[tuple[list, bool]] = []
 
     def flush(self):
-        line = SPACES.sub(" ", "".join(self.text)).strip()
-        if line:
-            self.blocks.append((line, self.main > 0))
-        self.text = []
+        if self.text:
+            self.raw.append((self.text, self.main > 0))
+            self.text = []
+
+    def blocks(self) -> list[tuple[str, bool]]:
+        out = []
+        for parts, main in self.raw:
+            line = SPACES.sub(" ", "".join(x for x, marks in parts if not marks or self.kept.issuperset(marks))).strip()
+            if line:
+                out.append((line, main))
+        return out
+
+    def _pop(self):
+        tag, boiler, mark = self.open.pop()
+        self.skip -= boiler
+        self.main -= tag in MAIN
+        self.articles -= tag == "article"
+        if mark:
+            self.doubtful = self.doubtful[:-1]
+        return tag
+
+    def _leave_head(self, tag):
+        tags = [t for t, _, _ in self.open]
+        if "head" in tags and (tag == "body" or not {"noscript", "template"}.intersection(tags)):
+            while self._pop() != "head":
+                pass
+
+    def _marked(self, tag, attrs) -> bool:
+        if tag == "form":
+            return True
+        tokens = [w for k, v in attrs if k in ("class", "id", "role") and v for w in v.split()]
+        # A header of the article is the article's.
+        return tag not in ("html", "body", *MAIN) and any(BOILER.fullmatch(w) and not (self.main and w.lower() == "header") for w in tokens)
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
             self.flush()
+        if tag not in HEAD and self.skip:
+            self._leave_head(tag)
         if tag in VOID:
             return
-        marks = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        boiler = tag in DROPPED or (tag == "header" and not self.main) or (tag not in ("html", "body", *MAIN) and bool(BOILER.search(marks)))
-        self.open.append((tag, boiler, tag in MAIN))
+        if tag == "main" or (tag == "article" and not self.articles):
+            self.kept.update(self.doubtful)
+        boiler = (tag in DROPPED and tag != "form") or (tag == "header" and not self.main)
+        mark = 0
+        if not boiler and self._marked(tag, attrs):
+            self.marked += 1
+            mark = self.marked
+            self.doubtful = (*self.doubtful, mark)
+        self.open.append((tag, boiler, mark))
         self.skip += boiler
         self.main += tag in MAIN
+        self.articles += tag == "article"
 
     def handle_startendtag(self, tag, attrs):
         if tag not in INLINE:
@@ -81,16 +127,14 @@ class _Blocks(HTMLParser):
                     break
                 if self.open[k][0] not in INLINE:
                     return
-        while True:
-            t, boiler, main = self.open.pop()
-            self.skip -= boiler
-            self.main -= main
-            if t == tag:
-                return
+        while self._pop() != tag:
+            pass
 
     def handle_data(self, data):
+        if self.skip and self.open[-1][0] == "head" and data.strip():
+            self._leave_head("")
         if not self.skip:
-            self.text.append(data)
+            self.text.append((data, self.doubtful))
 
 
 def lines_of(html: str) -> list[tuple[str, bool]]:
@@ -99,8 +143,7 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    found = parser.blocks
-    return found
+    return parser.blocks()
 
 
 def shared_lines(a: list, b: list) -> set[int]:

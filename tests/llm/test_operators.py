@@ -218,3 +218,17 @@ def test_substring_dedup_returns_spans_and_kept_bytes(spark):
         assert edges == sorted(edges) and r.kept == b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len(data), len(data) - len(r.kept), len(r.spans))
     assert got[0].spans == [] and got[1].kept == b"fourfive" and len(got[1].spans) == 2
+
+
+def test_html_keeps_the_article_in_any_wrapper():
+    def lines(html):
+        return [x for x, _ in html_extract.lines_of(html)]
+
+    for wrap in ("content has-sidebar", "site header-fixed", "post no-comments", "sidebar", "widget main"):
+        assert lines(f"<body><div class='{wrap}'><p>lead</p><article><h1>T</h1><p>x</p></article></div><div class='ad'>no</div></body>") == ["lead", "T", "x"]
+    assert lines("<body><div class='post has-sidebar'><p>x</p></div>") == ["x"]
+    assert lines("<form id='all'><main><p>x</p></main></form><form><p>no</p></form>") == ["x"]
+    assert lines("<article><div class='post-header'><h1>T</h1></div><div class='header'>H</div><p>x<span class='ad'>no</span></p></article>") == ["T", "H", "x"]
+    assert lines("<article><p>x</p><div class='comments'><article>no</article></div></article><div id='comment-list'>no</div><div class='nav-menu'>no</div>") == ["x"]
+    assert lines("<html><head><title>t</title><body><p>x</p><nav>no</nav></body></html>") == ["x"]
+    assert lines("<head><meta charset=x><style>s</style><p>x") == ["x"] and lines("<head><title>t</title></head><p>x") == ["x"]
