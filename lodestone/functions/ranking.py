@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with 1-based positions in ``order``, which should be total for repeatable results.
 
-    Range partitions are sorted in parallel; one count per partition gives each its start."""
+    Range partitions are sorted in parallel and stored with their number: counts and positions
+    must come from the one range sampling, and each evaluation of the plan would sample anew."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
+    placed = stored(
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        "ranked",
     )
     counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     starts, total = [], 0
