@@ -2,36 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import discard, fresh_path, shared_dir, stored
+
+__all__ = ["SPACE", "WORD", "discard", "fresh_path", "shared_dir", "small", "stored", "table", "whole", "words"]
+
 #: The white space of the contracts: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few numbers that a broadcast may hold: a few MB, checked by a count before.
+BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a temporary one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast only if its count is within ``rows``."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

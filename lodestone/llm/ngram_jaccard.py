@@ -1,152 +1,351 @@
 """N-gram Jaccard self-join on 5-word shingles, by token-combination prefixes.
 
-Documents of one shingle set form a class, of which one row goes on. Tokens (shingle hashes) are
-ordered with rare ones first; two sets of similarity s or more share at least two tokens of
-their prefixes of length n - ceil(s n) + 2 (or one, in sets too small for two). Rare tokens are
-indexed singly, of frequent ones only the pairs within a prefix: either the shared tokens
-include a rare one or they form such a pair. Candidates are then verified on whole sets.
-
-Within a key's posting list, links are first sought between each set and one hub; lists whose sets
-are by then of one component have no more to tell, and the rest compare the sets of different
-components only. No list emits the pairs of copies of one passage's documents, yet every link
-between components is verified. Components come from min-label propagation with pointer jumping.
-
-Nulls, blanks: empty sets, linked with nothing. Fewer than five words: the whole sequence.
+A document's tokens are the 64-bit hashes of its distinct shingles in the order of those hashes.
+Two sets of n and m tokens and similarity s or more share a token among the first
+n - ceil(s n) + 1 of the one and m - ceil(s m) + 1 of the other: these and a tenth of n more are indexed
+singly. As all shared tokens but those behind the shorter reaching prefix lie in both, the number of keys that
+two sets share has a lower bound as well, which sets with a common passage mostly miss. A token whose postings
+list is longer than ``frequent`` is of a frequent class. Sets that can only meet in such tokens are indexed
+anew: their tokens are counted among them exactly, rare ones go first and are indexed singly, and of the
+frequent ones combinations of two neighbours, in a prefix extended to 2 (1 - s) n + 2 less two for each
+rare token. No more neighbours than that are parted by tokens that only one of the sets has, so similar sets
+share a combination. Thresholds are the same at every size.
+
+Each set has a bitmap of the parity of its tokens per slot: sets that differ in d tokens differ in at most d
+bits, which rules out most candidates beforehand. The others are verified on whole sets, made again from the whole texts. A list first compares its
+sets with its least one, then with its greatest, which links groups of near copies without pairing
+them all; lists whose sets are by then of one component have no more to tell, and the rest compare
+sets of different components only. Every link between components is thus verified, and components
+are exact; ``links`` holds the verified links that joined them, not all links within a component.
+Spokes of a hub are dealt in blocks, each with a copy of the hub's text, so no hub is one task.
+
+Sets of equal tokens form a class, of which one row is a candidate. Nulls, blanks: empty sets, linked with
+nothing; empty tables give no rows. Fewer than five words: the whole sequence. Rows of one doc_id
+are one node of the graph: what one of them links to, all reach. A null doc_id is no node: its row has the
+component of the documents with its very set, or null. Extra columns are not read. A very long text is held
+whole by one task, about fifteen times its bytes while it is hashed.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, whole, words
+from .common import discard, small, stored, table, whole
+from .shingling import WORD_BASE, mixed, shingle_sets
 
 SHINGLE = 5
 PERCENT = 80
-#: A token is frequent when its counter, shared with few others, passes this.
-FREQUENT = 1000
-COUNTERS = 1 << 20
-#: Rounds of comparing with hubs before the remaining pairs are taken whole.
-HUB_ROUNDS = 2
+#: A longer postings list is of a frequent class.
+FREQUENT = 50
+#: Per cent of a set's tokens indexed beyond the prefix that must meet.
+EXTRA = 10
+#: Documents compared with one copy of their hub.
+SPOKES = 64
+#: Bits of the bitmap that marks frequent tokens, 512 kB whatever the input; tokens that share a marked
+#: bit are of the frequent class too, which costs time but no result.
+SLOTS = 1 << 22
+#: Longs of a set's bitmap of parities.
+BITS = ("b0", "b1", "b2", "b3")
+#: Rounds of comparing lists of combinations with one of their sets before the rest is compared.
+ROUNDS = 1
+#: Digests a task remembers to index each class once; it then starts anew.
+REMEMBERED = 1_000_000
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
 
 
 def shingles(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id and ``tokens``, the sorted distinct hashes of the shingles of the whole text."""
-    low = F.translate(whole(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    w = docs.select(F.col("doc_id").cast("long"), words(low).alias("w"))
-    shifted = ", ".join(["w", *(f"slice(w, {k + 1}, size(w) + 1)" for k in range(1, n))])
-    fields = ", ".join(["x.w", *(f"x['{k}']" for k in range(1, n))])
-    return w.select(
-        "doc_id",
-        F.expr(
-            f"""CASE WHEN size(w) = 0 THEN CAST(array() AS array<bigint>) WHEN size(w) < {n} THEN array(xxhash64(array_join(w, ' ')))
-            ELSE sort_array(array_distinct(transform(filter(arrays_zip({shifted}), x -> x['{n - 1}'] IS NOT NULL),
-              x -> xxhash64(concat_ws(' ', {fields}))))) END"""
-        ).alias("tokens"),
-    )
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of the nodes of stored edges (a, b): the least node each can reach."""
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("root"))
-    label = stored(label, "labels")
-    while True:
-        near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("low"))
-        moved = label.join(near, F.col("id") == F.col("a"), "left").select("id", "root", F.least("root", "low").alias("next"))
-        up = label.select(F.col("id").alias("next"), F.col("root").alias("top"))
-        jumped = moved.join(up, "next", "left").select("id", "root", F.least("next", "top").alias("new"))
-        jumped = stored(jumped, "labels")
-        changed = jumped.where("new <> root").limit(1).count()
-        label = jumped.select("id", F.col("new").alias("root"))
-        if not changed:
-            return label
-
-
-def _by_id(sets: DataFrame) -> DataFrame:
-    """The sets as a table bucketed by id, so that no join on id moves them again."""
-    spark = sets.sparkSession
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"sets_{uuid.uuid4().hex}"
-    sets.repartition(n, "id").write.bucketBy(n, "id").sortBy("id").format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    pairs = pairs.where("a <> b").distinct()
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-    return met.where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
-
-
-def _frequent(sets: DataFrame, frequent: int) -> list[int]:
-    """Counters above ``frequent`` and 8 times their mean: at most COUNTERS / 8 of them."""
-    slot = F.pmod("t", F.lit(COUNTERS)).cast("int")
-    counted = sets.select(F.explode("tokens").alias("t")).groupBy(slot.alias("s")).count()
-    counted = stored(counted, "counters")
-    total = counted.agg(F.sum("count")).first()[0] or 0
-    return [r.s for r in counted.where(F.col("count") > max(frequent, 8 * total // COUNTERS)).select("s").collect()]
-
-
-def postings(sets: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """(key, id, n): the index entries of every set."""
-    common = _frequent(sets, frequent)
-    rare = F.filter("tokens", lambda t: ~F.pmod(t, F.lit(COUNTERS)).cast("int").isin(common)) if common else F.col("tokens")
-    split = sets.select("id", F.size("tokens").alias("n"), rare.alias("rare"), "tokens")
-    p = F.expr(f"CAST(n - ceil({percent} * n / 100) + 2 AS int)")
-    cut = split.withColumn("p", F.least(p, F.col("n"))).select(
-        "id", "n",
-        F.slice("rare", 1, F.col("p")).alias("r"),
-        F.expr("slice(array_except(tokens, rare), 1, greatest(p - size(rare), 0))").alias("f"),
-    )
-    singles = cut.select("id", "n", F.explode("r").alias("key"))
-    first = cut.select("id", "n", "f", F.posexplode("f").alias("i", "t"))
-    pairs = first.select("id", "n", "t", F.explode(F.expr("slice(f, i + 2, size(f))")).alias("u")).select("id", "n", F.xxhash64("t", "u").alias("key"))
-    # Sets too small to be sure of two shared prefix tokens keep their frequent ones singly.
-    small = cut.where(F.col("n") < 4).select("id", "n", F.explode("f").alias("key"))
-    return singles.unionByName(pairs).unionByName(small).select("key", "id", "n")
-
-
-def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    made = shingles(docs)
-    digest = F.sha2(F.array_join(F.transform("tokens", lambda t: F.hex(t)), ","), 256)
-    every = stored(made.select("doc_id", F.size("tokens").alias("n"), F.when(F.size("tokens") > 0, digest).alias("h")), "set-digests")
-    heads = every.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("id"))
-    # The sets are made again for the classes' rows rather than kept for all documents.
-    chosen = made.where(F.size("tokens") > 0).join(heads.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = _by_id(chosen.select(F.col("doc_id").alias("id"), "tokens").dropDuplicates(["id"]))
-    index = stored(postings(sets, percent, frequent), "postings")
-    wide = index.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("lo")).where("k > 1").select("key")
-    index = stored(index.join(wide, "key"), "postings")
-
-    links = None
-    root = sets.select("id", F.col("id").alias("root"))
-    for k in range(HUB_ROUNDS + 1):
-        labelled = index.join(root, "id")
-        # Lists within one component have no more to tell.
-        live = labelled.groupBy("key").agg(F.min("root").alias("a0"), F.max("root").alias("a1")).where("a0 <> a1").select("key")
-        labelled = labelled.join(live, "key")
-        if k < HUB_ROUNDS:
-            pick = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), F.col("id").alias("hub"), F.col("root").alias("hub_root")))
-            hubs = labelled.groupBy("key").agg(pick.alias("p")).select("key", "p.hub", "p.hub_root")
-            pairs = labelled.join(hubs, "key").where("root <> hub_root").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    """doc_id, n_shingles, h, a digest of the set (null if it is empty), and its bitmap, of every row."""
+    slots = 64 * len(BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column("text"), n)
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            marks = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary())
+            odd = np.array([np.bincount(x.view("u8") % np.uint64(slots), minlength=slots) & 1 for x in sets], "u1").reshape(len(sets), slots)
+            bits = np.packbits(odd, axis=1).view("i8")
+            columns = [batch.column("doc_id"), sizes, marks, *(pa.array(bits[:, k]) for k in range(len(BITS)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h", *BITS])
+
+    return _texts(docs).mapInArrow(run, f"doc_id long, n_shingles long, h binary, {', '.join(f'{b} long' for b in BITS)}")
+
+
+def prefix_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens of a set's prefix."""
+    n = len(tokens)
+    return tokens[: n - -(-percent * n // 100) + 1 + EXTRA * n // 100]
+
+
+def combined_keys(tokens: np.ndarray, percent: int, marked: np.ndarray) -> np.ndarray:
+    """Of a set's prefix with rare tokens first, these and the neighbouring pairs of frequent ones."""
+    n = len(tokens)
+    common = marked[tokens.view("u8") % np.uint64(len(marked))]
+    rare, prefix = tokens[~common], n - -(-percent * n // 100) + 1
+    if len(rare) >= prefix:
+        return rare[:prefix]
+    head = tokens[common][: 2 * (100 - percent) * n // 100 - 2 * len(rare) + 2].view("u8")
+    return np.concatenate([rare, mixed(head[:-1] * np.uint64(WORD_BASE) + head[1:]).view("i8")])
+
+
+def postings(docs: DataFrame, keys_of, n: int = SHINGLE) -> DataFrame:
+    """(key, id): the keys of every set that its task has not met before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            keys, ids, held = [], [], 0
+            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), n)):
+                if doc_id is None or not len(tokens):
+                    continue
+                mark = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+                if mark in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(mark)
+                keys.append(keys_of(tokens))
+                ids.append(np.full(len(keys[-1]), doc_id, "i8"))
+                held += len(keys[-1])
+                if held > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+                    keys, ids, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+
+    return _texts(docs).mapInArrow(run, "key long, id long")
+
+
+def components(edges: DataFrame) -> DataFrame | None:
+    """(id, root) of the nodes of edges (a, b), the least node each can reach; None without edges.
+
+    Each node hooks to its least neighbour, hooks are followed twice, and the edges are
+    contracted to those between different roots, until none is left."""
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    left = stored(edges.where("a <> b").select(*ends).distinct(), "edges")
+    roots = None
+    while left.limit(1).count():
+        both = left.union(left.select("b", "a"))
+        hook = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("up")), "hooks")
+        up = hook.select(F.col("id").alias("up"), F.col("up").alias("root"))
+        jump = stored(hook.join(up, "up").select("id", "root"), "jumps")
+        a, b = jump.toDF("a", "x"), jump.toDF("b", "y")
+        met = left.join(a, "a").join(b, "b").where("x <> y")
+        rest = stored(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if roots is None:
+            after = jump
         else:
-            x = labelled.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            y = labelled.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            pairs = x.join(y, "key").where(fits).select("a", "b")
-        found = stored(_verified(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        linked = components(links).withColumnRenamed("root", "least")
-        root = stored(sets.select("id").join(linked, "id", "left").select("id", F.coalesce("least", "id").alias("root")), "roots")
-    heads = heads.join(root, "id").select("h", F.col("root"))
-    return every.join(heads, "h", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")
-    )
+            after = stored(roots.join(jump.toDF("root", "top"), "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
+            discard(roots, jump)
+        discard(left, hook)
+        left, roots = rest, after
+    discard(left)
+    return roots
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """The stored pairs (a, hub) whose whole sets are similar enough."""
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).alias("m"))
+    dealt = pairs.join(blocks, "hub").select("a", "hub", F.pmod(F.xxhash64("a"), F.col("m")).alias("block"))
+    spokes = texts.join(dealt, texts["id"] == F.col("a")).select("hub", "block", F.col("a"), "text")
+    centres = texts.join(dealt.select("hub", "block").distinct(), texts["id"] == F.col("hub")).select("hub", "block", F.lit(None).cast("long").alias("a"), "text")
+    together = spokes.union(centres).repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("a").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, centre = None, []
+        for batch in batches:
+            found = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("hub", "block", "a")), shingle_sets(batch.column("text"), n))
+            for hub, block, a, tokens in rows:
+                if (hub, block) != held:
+                    held, centre = (hub, block), []
+                if a is None:
+                    centre.append(tokens)
+                    continue
+                for other in centre:
+                    most = min(len(tokens), len(other))
+                    if 100 * most < percent * max(len(tokens), len(other)):
+                        continue
+                    both = len(np.intersect1d(tokens, other, assume_unique=True))
+                    if both and 100 * both >= percent * (len(tokens) + len(other) - both):
+                        found.append((a, hub))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return together.mapInArrow(run, "a long, b long").distinct()
+
+
+class _Join:
+    """The state of one join: the classes, the links found and the roots of linked nodes."""
+
+    def __init__(self, docs: DataFrame, percent: int, frequent: int, n: int):
+        self.docs, self.percent, self.frequent, self.n = _texts(docs), percent, frequent, n
+        every = stored(shingles(docs, n), "set-digests")
+        classes = every.where("h IS NOT NULL").groupBy("h").agg(F.min("doc_id").alias("low"))
+        #: Every row with its class's least doc_id.
+        self.members = stored(every.join(classes, "h", "left").select("doc_id", "n_shingles", "low", *BITS), "set-members")
+        discard(every)
+        self.links: list[DataFrame] = []
+        self.roots: DataFrame | None = None
+        nodes = self.members.where("doc_id IS NOT NULL AND low IS NOT NULL")
+        twins = nodes.groupBy("doc_id").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a < b").drop("b")
+        self.merge(stored(nodes.join(twins, "doc_id").where("a < low").select("a", F.col("low").alias("b")), "links"))
+
+    def merge(self, found: DataFrame) -> None:
+        """Takes in links (a, b)."""
+        self.links.append(found)
+        now = components(self.rooted(self.rooted(found, "a"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        if now is None:
+            return
+        if self.roots is not None:
+            moved = self.roots.join(now.toDF("root", "top"), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+            fresh = now.join(self.roots.select("id"), "id", "left_anti")
+            after = stored(moved.union(fresh), "roots")
+            discard(now, self.roots)
+            now = after
+        self.roots = now
+
+    def rooted(self, df: DataFrame, c: str) -> DataFrame:
+        """df with the root of node column c."""
+        if self.roots is None:
+            return df.withColumn(f"{c}_root", F.col(c))
+        return df.join(self.roots.toDF(c, "_top"), c, "left").withColumn(f"{c}_root", F.coalesce("_top", c)).drop("_top")
+
+    def lists(self, docs: DataFrame, keys_of) -> DataFrame:
+        """Stored (key, c, id, n, bitmap) of the lists of two and more, by classes; c is the list's length."""
+        index = postings(docs, keys_of, self.n)
+        wide = stored(index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "lists")
+        nodes = self.members.select(F.col("doc_id").alias("id"), "low", F.col("n_shingles").alias("n"), *BITS).where("low IS NOT NULL")
+        met = index.join(small(wide), "key").join(nodes, "id").select("key", "c", F.col("low").alias("id"), "n", *BITS).distinct()
+        out = stored(met, "postings")
+        discard(wide)
+        return out
+
+    def compare(self, pairs: DataFrame, texts: DataFrame) -> None:
+        """Verifies pairs (a, hub) and takes in the links."""
+        pairs = stored(pairs.distinct(), "pairs")
+        if pairs.limit(1).count():
+            self.merge(stored(_verified(pairs, texts, self.percent, self.n), "links"))
+        discard(pairs)
+
+    def live(self, index: DataFrame, *more) -> DataFrame:
+        """Lists that still hold nodes of different components."""
+        found = self.rooted(index, "id").groupBy("key").agg(F.min("id_root").alias("r0"), F.max("id_root").alias("r1"), *more)
+        return found.where("r0 <> r1").drop("r0", "r1")
+
+    def fits(self, n: str, m: str, bits: list[str], others: list[str]):
+        """Neither the sizes n, m nor the bitmaps rule out that two sets are similar."""
+        differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(bits, others)), F.lit(0))
+        shared = F.expr(f"CAST(ceil({self.percent} * ({n} + {m}) / {100 + self.percent}) AS long)")
+        return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & (differ <= F.col(n) + F.col(m) - 2 * shared)
+
+    def enough(self, met: DataFrame, long: DataFrame) -> DataFrame:
+        """The pairs (a, hub) of ``met`` (key, a, hub, n, m) that share as many keys as similar sets must; keys of
+        the long lists, which ``met`` lacks, count as shared as far as both sets have such."""
+        pairs = met.groupBy("a", "hub", "n", "m").agg(F.count("*").alias("k"))
+        more = long.groupBy("id").agg(F.count("*").alias("f"))
+        pairs = pairs.join(more.toDF("a", "fa"), "a", "left").join(more.toDF("hub", "fb"), "hub", "left")
+        shared = F.col("k") + F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0)))
+
+        def behind(n):
+            return f"greatest(0, CAST(ceil({self.percent} * {n} / 100) AS long) - 1 - {EXTRA} * {n} DIV 100)"
+
+        need = F.expr(f"CAST(ceil({self.percent} * (n + m) / {100 + self.percent}) AS long) - greatest({behind('n')}, {behind('m')})")
+        return pairs.where(shared >= need).select("a", "hub")
+
+    def texts(self, docs: DataFrame, index: DataFrame) -> DataFrame:
+        """The stored texts of the nodes in live lists, (id, text)."""
+        wanted = stored(index.join(self.live(index), "key").select("id").distinct(), "wanted")
+        found = docs.join(small(wanted), docs["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
+        out = stored(found, "texts")
+        discard(wanted)
+        return out
+
+    def star(self, index: DataFrame, texts: DataFrame, hub) -> None:
+        """Compares the sets of each live list with one of them."""
+        theirs = [f"hub_{b}" for b in BITS]
+        renamed = [F.col(f"p.{b}").alias(t) for b, t in zip(BITS, theirs)]
+        hubs = self.live(index, hub.alias("p")).select("key", F.col("p.id").alias("hub"), F.col("p.id_root").alias("hub_root"), F.col("p.n").alias("m"), *renamed)
+        pairs = self.rooted(index, "id").join(hubs, "key").where((F.col("id_root") != F.col("hub_root")) & self.fits("n", "m", BITS, theirs))
+        self.compare(pairs.select(F.col("id").alias("a"), "hub"), texts)
+
+    def across(self, index: DataFrame) -> DataFrame:
+        """(key, a, hub, n, m) of the pairs of different components in each list."""
+        rows = self.rooted(index, "id").join(self.live(index), "key")
+        theirs = [f"hub_{b}" for b in BITS]
+        x = rows.select("key", F.col("id").alias("a"), "n", F.col("id_root").alias("ra"), *BITS)
+        y = rows.select("key", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("id_root").alias("rb"), *(F.col(b).alias(t) for b, t in zip(BITS, theirs)))
+        return x.join(y, "key").where((F.col("hub") < F.col("a")) & (F.col("ra") != F.col("rb")) & self.fits("n", "m", BITS, theirs))
+
+    def singly(self) -> DataFrame:
+        """Compares the sets that meet in single tokens. Returns the nodes (id) that may have partners
+        which they meet in tokens of frequent classes alone."""
+        percent = self.percent
+        index = self.lists(self.docs, lambda tokens: prefix_keys(tokens, percent))
+        texts = self.texts(self.docs, index)
+        for pick in (F.min, F.max):
+            self.star(index, texts, pick(F.struct("id", "id_root", "n", *BITS)))
+        short, long = index.where(F.col("c") <= self.frequent), index.where(F.col("c") > self.frequent)
+        self.compare(self.enough(self.across(short), long), texts)
+        # Similar sets share at least so many keys; those of long lists must make them up.
+        live = long.join(self.live(long).select("key"), "key").groupBy("id", "n").agg(F.count("*").alias("f"))
+        out = stored(live.where(F.col("f") >= F.expr(f"{EXTRA} * n DIV 100")).select("id"), "extended")
+        discard(index, texts)
+        return out
+
+    def marked(self, docs: DataFrame) -> np.ndarray:
+        """The bits of the tokens that more than ``frequent`` of the documents have."""
+        counts = postings(docs, lambda tokens: tokens, self.n).groupBy("key").count().where(F.col("count") > self.frequent)
+        slot = F.pmod("key", F.lit(SLOTS))
+        size = 8 * 4096  # of a bitmap that Spark builds
+        maps = counts.groupBy((slot / size).cast("int").alias("at")).agg(F.bitmap_construct_agg(slot % size).alias("bits")).collect()
+        out = np.zeros(SLOTS, bool)
+        for row in maps:
+            out[row["at"] * size : (row["at"] + 1) * size] = np.unpackbits(np.frombuffer(row["bits"], "u1"), bitorder="little")
+        return out
+
+    def combined(self, extended: DataFrame) -> None:
+        """Compares the given nodes by rare tokens and by combinations of frequent ones."""
+        docs = self.docs.join(small(extended), self.docs["doc_id"] == extended["id"], "left_semi")
+        docs = stored(docs, "extended-texts")
+        marked, percent = docs.sparkSession.sparkContext.broadcast(self.marked(docs)), self.percent
+        index = self.lists(docs, lambda tokens: combined_keys(tokens, percent, marked.value))
+        texts = self.texts(docs, index)
+        for k in range(ROUNDS):
+            # Any component of a list may give the next set to compare with, however few it has.
+            self.star(index, texts, F.min_by(F.struct("id", "id_root", "n", *BITS), F.struct(F.xxhash64("id_root", F.lit(k)), F.xxhash64("id", F.lit(k)))))
+        self.compare(self.across(index).select("a", "hub"), texts)
+        discard(index, texts, docs)
+
+    def run(self) -> _Join:
+        extended = self.singly()
+        if extended.limit(1).count():
+            self.combined(extended)
+        discard(extended)
+        return self
+
+
+def links(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT, n: int = SHINGLE) -> DataFrame:
+    """(a, b): verified links between class representatives that suffice to join every component."""
+    found = _Join(docs, percent, frequent, n).run().links
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT, n: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    done = _Join(docs, percent, frequent, n).run()
+    return done.rooted(done.members, "low").select("doc_id", "n_shingles", F.coalesce("low_root", "doc_id").alias("component_id"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
