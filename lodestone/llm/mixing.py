@@ -5,7 +5,10 @@ leading hex digits, evenly filled because the key is a hash), running token coun
 prefix sum over the ranges plus one within each range, and each source is cut at its exact
 budget. A budget above the source's size repeats it in whole epochs first. No task ever holds
 a source: a hot one spreads over all ranges. Nulls as source form a source of their own, null
-texts count zero words; with no words at all nothing is taken. Repeated rows are kept apart.
+texts count zero words; with no words at all nothing is taken. Repeated rows are kept apart and each
+takes its own share; of rows with one doc_id and size any may come first. Null doc_ids share one key.
+Empty tables give no rows. Extra columns are not read unless ``carry`` names them. A very long text is one
+document, which the cut may divide.
 """
 
 from __future__ import annotations
@@ -47,14 +50,16 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     ).select("src", "source_size", "target")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted) of every document."""
+def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words, repeats counted) of every document, and the
+    columns of ``carry``."""
     sized = docs.select(
         "doc_id",
         "source",
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"),
         F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
+        *carry,
     ).withColumn("range", F.substring("key", 1, DIGITS))
     sized = stored(sized, "mix-sizes")
     ranges = sized.groupBy("src", "source", "range").agg(F.sum("size").alias("words"))
@@ -71,7 +76,7 @@ def mix(docs: DataFrame) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0)).cast("long")
     placed = placed.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     cut = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("at")))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"), *carry)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ that finds the tightest open window. Packing runs in groups of a set number of r
 dealt by hash, so a task's memory is fixed and no group follows a key of the data; a group's
 padding is that of its last few windows. Only lengths go to the packing; the ids are stored once with
 their pieces and joined to the placed ones. Null and empty texts are the end token alone. Repeated
-rows are packed each for itself.
+rows and rows without a doc_id are packed each for itself. Empty tables give no rows; extra columns are not
+read. A very long text is encoded whole by one task and cut into as many windows as it fills.
 """
 
 from __future__ import annotations
