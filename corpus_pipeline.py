@@ -2,51 +2,73 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents.
+
+Stages decide on rows, not on doc_ids: each row is carried whole, as a struct beside a number of its own, so
+extra columns may have any name, and rows with a null or repeated doc_id are judged like any others.
+Where one row of a group stays it is that of the least doc_id, nulls last; of rows that tie in it any one. Null
+and blank texts have too few words for the quality rules; very long texts are handled whole in every
+stage. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, mixing, ngram_jaccard, packing, quality_rules
 from lodestone.llm.common import stored, table
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): the rows of docs as structs, with numbers that hold as they are stored."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
+
+
+def _first() -> Column:
+    """Orders the rows of a group: the least doc_id, nulls last."""
+    return F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("id"), F.col("row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' current policy keeps."""
-    return _only(docs, quality_rules.apply_policy(quality_rules.ledger(docs)).where("kept"))
+    return quality_rules.apply_policy(quality_rules.ledger(docs, keep=True)).where("kept").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each normalised text, one row of it."""
-    return _only(docs, exact_dedup.groups(docs).where("kept")).dropDuplicates(["doc_id"])
+    """One row of each normalised text."""
+    rows = _numbered(docs)
+    kept = exact_dedup.groups(rows.select("row", "doc", F.col("doc.text").alias("text")), key=_first()).where("kept")
+    return rows.join(kept.select("doc_id.row"), "row", "left_semi").select("doc.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones."""
-    return _only(docs, ngram_jaccard.join(docs).where("component_id = doc_id"))
+    """One row of each group of linked ones; empty texts are linked with nothing and stay."""
+    rows = _numbered(docs)
+    groups = ngram_jaccard.join(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
+    named = rows.join(groups.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    kept = named.groupBy("component_id").agg(F.min(_first()).alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once per epoch that takes words of it; a text the budget cuts keeps its first taken words."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "size", "taken")
-    rows = docs.join(taken, "doc_id").withColumn("turn", F.explode(F.expr("sequence(0L, (taken - 1) DIV size)")))
+    """Each row once per epoch that takes words of it; a text the budget cuts keeps its first taken words."""
+    rows = _numbered(docs)
+    fields = rows.select("row", "doc", "doc.doc_id", "doc.text", "doc.source")
+    taken = mixing.mix(fields, carry=("row",)).where("taken > 0").select("row", "size", "taken")
+    turns = rows.join(taken, "row").withColumn("turn", F.explode(F.expr("sequence(0L, (taken - 1) DIV size)")))
     words = F.least("size", F.col("taken") - F.col("turn") * F.col("size"))
-    lead = F.concat_ws(" ", F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), words.cast("int")))
+    trimmed = F.regexp_replace("doc.text", r"^[\x20\x09-\x0D]+", "")
+    lead = F.concat_ws(" ", F.slice(F.split(trimmed, r"[\x20\x09-\x0D]+"), F.lit(1), words.cast("int")))
     whole = words == F.col("size")
-    out = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(lead))
+    text = F.when(whole, F.col("doc.text")).otherwise(lead)
+    out = turns.withColumn("doc", F.col("doc").withField("text", text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(docs.columns)
+        out = out.withColumn("doc", F.col("doc").withField("n_chars", F.when(whole, F.col("doc.n_chars")).otherwise(F.length("doc.text").cast("long"))))
+    return out.select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their ids, sequence and offset."""
+    """The pieces of all rows with their ids, sequence and offset."""
     return packing.pack(docs)
 
 
