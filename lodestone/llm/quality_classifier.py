@@ -3,9 +3,14 @@
 A document is the mean of learned vectors of its words and their character n-grams, hashed into
 a fixed table; a softmax over two classes reads it, and both are trained by stochastic gradient
 descent in numpy. Training takes at most ``max_rows`` labelled rows, those of the smallest
-hash of doc_id, and of each the most frequent ``max_features`` features; scoring reads every
-whole text. Only the text is an input of a score. Null and empty texts score as the mean
-of no vectors, i.e. by the bias. Without labelled rows every score is 0.5.
+hash of doc_id: executors turn their whole texts into bags of features, and the driver holds only
+these, as 32-bit numbers. Scoring reads every whole text. Only the text is an input of a score.
+
+Null and empty texts score as the mean of no vectors, i.e. by the bias. Without labelled rows every score
+is 0.5. A doc_id with several labels has their least; repeated rows are scored each for itself, and of their
+texts the least trains. A null doc_id is not held out and trains nothing. Ties of a score do not
+matter, as each row has its own. Empty tables give no rows; extra columns are not read. A very long text is one
+bag of its distinct features.
 """
 
 from __future__ import annotations
@@ -19,54 +24,63 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, stored, table
 
 BUCKETS = 1 << 16
 DIM = 16
 THRESHOLD = 0.7
 NGRAMS = (3, 4)
-MAX_ROWS = 20_000
+#: The bounded sample that is fitted: labelled rows, at most.
+MAX_ROWS = 6_000
 EPOCHS = 8
 RATE = 0.5
+#: A document's step is spread over its features; this scales it to that of a text of as many.
+FEATURES = 50
+#: Longer words are not remembered.
+LONG = 64
 
 
-class Features:
-    """Hashed features of a word: itself and the character n-grams of it in angle brackets."""
+def features(word: str, buckets: int = BUCKETS) -> np.ndarray:
+    """The hashed features of a word: itself and the character n-grams of it in angle brackets."""
+    w = f"<{word}>"
+    grams = [word, *(w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1))]
+    return np.array([zlib.crc32(g.encode("utf-8", "replace")) % buckets for g in grams], "int64")
 
-    def __init__(self, buckets: int = BUCKETS, keep: int = 200_000):
-        self.buckets, self.keep, self.known = buckets, keep, {}
 
-    def of(self, word: str) -> np.ndarray:
+class Memory:
+    """A function of words that remembers short ones."""
+
+    def __init__(self, f, keep: int = 200_000):
+        self.f, self.keep, self.known = f, keep, {}
+
+    def __call__(self, word: str):
         found = self.known.get(word)
         if found is None:
-            w = f"<{word[:40]}>"
-            grams = [word, *(w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1))]
-            found = np.array([zlib.crc32(g.encode("utf-8", "replace")) % self.buckets for g in grams], "int64")
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            self.known[word] = found
+            found = self.f(word)
+            if len(word) <= LONG:
+                if len(self.known) >= self.keep:
+                    self.known.clear()
+                self.known[word] = found
         return found
 
-    def bag(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct feature ids of a whole text and their weights, which sum to 1."""
-        counts = Counter(text.split())
-        if not counts:
-            return np.zeros(0, "int64"), np.zeros(0)
-        parts = [self.of(w) for w in counts]
-        ids = np.concatenate(parts)
-        weight = np.repeat(np.fromiter(counts.values(), float, len(counts)), [len(p) for p in parts])
-        ids, at = np.unique(ids, return_inverse=True)
-        weight = np.bincount(at, weight)
-        return ids, weight / weight.sum()
-
-
-def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vectors, output weights, output bias) from (text, label) rows."""
+
+def bag(text: str, of) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature ids of a whole text and their weights, which sum to 1."""
+    counts = Counter(text.split())
+    if not counts:
+        return np.zeros(0, "int32"), np.zeros(0, "float32")
+    parts = [of(w) for w in counts]
+    weight = np.repeat(np.fromiter(counts.values(), float, len(counts)), [len(p) for p in parts])
+    ids, at = np.unique(np.concatenate(parts), return_inverse=True)
+    weight = np.bincount(at, weight)
+    return ids.astype("int32"), (weight / weight.sum()).astype("float32")
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, output weights, output bias) from (feature ids, weights, label) rows."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     out, bias = np.zeros((2, DIM)), np.zeros(2)
-    features = Features()
-    bags = [(*features.bag(t), y) for t, y in rows]
     steps, done = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(bags)):
@@ -81,17 +95,26 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
             back = p @ out
             out -= lr * np.outer(p, mean)
             bias -= lr * p
-            # The mean's step goes to its features in proportion, on the scale of one feature.
-            vectors[ids] -= lr * np.outer(weight * min(len(ids), 50), back)
+            vectors[ids] -= lr * FEATURES * np.outer(weight, back)
     return vectors.astype("float32"), out, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
     """The model learnt from the labelled rows that are not held out."""
-    marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
-    return train([(r.text, int(r.quality)) for r in texts.orderBy("doc_id", "text").limit(max_rows).toLocalIterator()])
+    marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = stored(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "fitted-rows")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(chosen), "doc_id")
+    rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Memory(features)
+        for batch in batches:
+            made = [bag(t, of) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["quality"].astype("int32"), "ids": [i.tobytes() for i, _ in made], "weights": [w.tobytes() for _, w in made]})
+
+    bags = stored(rows.mapInPandas(run, "doc_id long, y int, ids binary, weights binary"), "bags")
+    # Of max_rows rows, one partition at a time; only the arrays stay.
+    return train([(np.frombuffer(bytes(r.ids), "int32"), np.frombuffer(bytes(r.weights), "float32"), r.y) for r in bags.orderBy("doc_id").toLocalIterator()])
 
 
 def held_out():
@@ -105,12 +128,14 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors, out, bias = shipped.value
-        features = Features()
+        # Of a word, the sum of its features' vectors and, last, how many they are.
+        of = Memory(lambda w: np.append(vectors[ids := features(w)].sum(0, dtype="float64"), len(ids)))
         for batch in batches:
             scores = []
             for text in batch["text"]:
-                ids, weight = features.bag(text)
-                z = out @ (weight @ vectors[ids]) + bias
+                counts = Counter(text.split())
+                total = np.fromiter(counts.values(), float, len(counts)) @ np.array([of(w) for w in counts]) if counts else np.append(np.zeros(DIM), 1)
+                z = out @ (total[:-1] / total[-1]) + bias
                 scores.append(1 / (1 + np.exp(z[0] - z[1])))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": scores})
 

@@ -18,5 +18,6 @@ ORACLE_SQL = {
     "op3_mixing": mixing.SQL,
     "op4_ngram_jaccard": ngram_jaccard.SQL,
     "op6_quality_rules": quality_rules.SQL,
+    "op7_warc": warc.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }

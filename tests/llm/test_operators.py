@@ -139,6 +139,33 @@ def test_warc_round_trip(spark):
     assert got == {1: (4, "revisit", 2), 2: (4, "response", None), 3: (0, "revisit", 5), 4: (7, "response", None), 5: (0, "response", None)}
 
 
+def test_warc_digests_revisits_and_odd_rows(spark):
+    import base64
+    import gzip
+
+    rng = random.Random(4)
+    rows = [(i, f"http://h/{i}", rng.choice(["", "a", "bb" * 50, None, "é" * 9, "z" * 1_500_000]), "clash") for i in range(60)]
+    rows += [(None, "n", "a", "c"), (None, "m", "only"), (7, "again", rows[7][2], "c")]
+    rows = [(*r, "c")[:4] for r in rows]
+    df, folder = spark.createDataFrame(rows, "page_id long, url string, html string, digest string"), fresh_path(spark, "warc")
+    index = warc.write(df, folder)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(index, folder).collect()), key=repr)
+    last = {}
+    for i, _u, h, _c in rows:
+        last[h or ""] = max((x for x in (i, last.get(h or "")) if x is not None), default=None)
+    want = []
+    for i, _u, h, _c in rows:
+        data, k = (h or "").encode(), last[h or ""]
+        sha = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        want.append((i, len(data), sha, "response" if i == k else "revisit", None if i == k else k))
+    assert got == sorted(want, key=repr)
+    paths = {r.path for r in index.collect()}
+    records = b"".join(gzip.open(p).read() for p in paths)
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", records)
+    assert len(ids) == len(set(ids)) == len(rows) and records.count(b"WARC-Date: 2") == len(rows)
+    assert warc.read(warc.write(df.limit(0), folder), folder).count() == 0
+
+
 def test_classifier_learns_held_out_rows(spark):
     rng = random.Random(3)
     words = {1: ["river", "stone", "light"], 0: ["zzx", "qqv", "xxk"]}
@@ -150,6 +177,30 @@ def test_classifier_learns_held_out_rows(spark):
     assert all(r.predicted == r.doc_id % 2 for r in out if r.held_out and r.doc_id < 200)
 
 
+def test_score_equals_the_mean_of_the_whole_texts_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = (rng.normal(size=(quality_classifier.BUCKETS, quality_classifier.DIM)).astype("float32"), rng.normal(size=(2, quality_classifier.DIM)), rng.normal(size=2))
+    rows = ["one two two", "x" * 5000, "y" * 41 + "a " + "y" * 41 + "b", "", None, "é ü\tß"]
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs(spark, rows), model).collect()}
+    for i, t in enumerate(rows):
+        ids = []
+        for w in (t or "").split():
+            b = f"<{w}>"
+            ids += [zlib.crc32(g.encode()) % quality_classifier.BUCKETS for g in [w, *(b[k : k + n] for n in (3, 4) for k in range(len(b) - n + 1))]]
+        mean = model[0][ids].astype(float).mean(0) if ids else np.zeros(quality_classifier.DIM)
+        z = model[1] @ mean + model[2]
+        assert got[i] == pytest.approx(np.exp(z[1]) / np.exp(z).sum(), abs=1e-6)
+
+
+def test_classifier_without_rows_or_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_classifier.score(docs(spark, ["a b", None]), quality_classifier.fit(docs(spark, ["a b", None]), none)).where("score = 0.5").count() == 2
+    empty = spark.createDataFrame([], SCHEMA)
+    assert quality_classifier.score(empty, quality_classifier.fit(empty, none)).count() == 0
+
+
 @pytest.mark.parametrize("f", [exact_dedup.groups, ngram_jaccard.join, mixing.mix, packing.pack, secret_scan.scan, substring_dedup.dedup, quality_rules.ledger])
 def test_empty_tables(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0
