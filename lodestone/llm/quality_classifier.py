@@ -15,8 +15,6 @@ bag of its distinct features.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small, stored, table
+from .shingling import BYTE_BASE, WORD_BASE, _power, mixed
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -36,43 +35,42 @@ EPOCHS = 8
 RATE = 0.5
 #: A document's step is spread over its features; this scales it to that of a text of as many.
 FEATURES = 50
-#: Longer words are not remembered.
-LONG = 64
-
-
-def features(word: str, buckets: int = BUCKETS) -> np.ndarray:
-    """The hashed features of a word: itself and the character n-grams of it in angle brackets."""
-    w = f"<{word}>"
-    grams = [word, *(w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1))]
-    return np.array([zlib.crc32(g.encode("utf-8", "replace")) % buckets for g in grams], "int64")
-
-
-class Memory:
-    """A function of words that remembers short ones."""
-
-    def __init__(self, f, keep: int = 200_000):
-        self.f, self.keep, self.known = f, keep, {}
-
-    def __call__(self, word: str):
-        found = self.known.get(word)
-        if found is None:
-            found = self.f(word)
-            if len(word) <= LONG:
-                if len(self.known) >= self.keep:
-                    self.known.clear()
-                self.known[word] = found
-        return found
-
-
-def bag(text: str, of) -> tuple[np.ndarray, np.ndarray]:
+#: Words whose features are made at once.
+WORDS = 20_000
+
+
+def features(words: list[str], buckets: int = BUCKETS) -> np.ndarray:
+    """The hashed features of words, repeats counted: each word and the character n-grams of it
+    between marks of its start and end. The marks are white space, which no word holds."""
+    c = np.frombuffer(("\n" + " \n".join(words) + " ").encode("utf-32-le", "surrogatepass"), "u4").astype("u8")
+    start, end = c == 10, c == 32
+    first, last = np.flatnonzero(start) + 1, np.flatnonzero(end)
+    sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(c * _power(BYTE_BASE, len(c))[: len(c)])])
+    parts = [mixed((sums[last] - sums[first]) * _power(pow(BYTE_BASE, -1, 1 << 64), len(c))[first])]
+    for n in NGRAMS:
+        size = max(0, len(c) - n + 1)
+        gram, inside = np.zeros(size, "u8"), np.ones(size, bool)
+        for k in range(n):
+            gram = gram * np.uint64(WORD_BASE) + c[k : k + size]
+            if k:
+                inside &= ~start[k : k + size] & ~end[k - 1 : k - 1 + size]
+        parts.append(gram[inside])
+    return (mixed(np.concatenate(parts)) % np.uint64(buckets)).astype("int64")
+
+
+def slices(text: str) -> Iterator[list[str]]:
+    words = text.split()
+    for a in range(0, len(words), WORDS):
+        yield words[a : a + WORDS]
+
+
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature ids of a whole text and their weights, which sum to 1."""
-    counts = Counter(text.split())
-    if not counts:
+    parts = [np.unique(features(words), return_counts=True) for words in slices(text)]
+    if not parts:
         return np.zeros(0, "int32"), np.zeros(0, "float32")
-    parts = [of(w) for w in counts]
-    weight = np.repeat(np.fromiter(counts.values(), float, len(counts)), [len(p) for p in parts])
-    ids, at = np.unique(np.concatenate(parts), return_inverse=True)
-    weight = np.bincount(at, weight)
+    ids, at = np.unique(np.concatenate([i for i, _ in parts]), return_inverse=True)
+    weight = np.bincount(at, np.concatenate([n for _, n in parts]))
     return ids.astype("int32"), (weight / weight.sum()).astype("float32")
 
 
@@ -107,9 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
     rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Memory(features)
         for batch in batches:
-            made = [bag(t, of) for t in batch["text"]]
+            made = [bag(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["quality"].astype("int32"), "ids": [i.tobytes() for i, _ in made], "weights": [w.tobytes() for _, w in made]})
 
     bags = stored(rows.mapInPandas(run, "doc_id long, y int, ids binary, weights binary"), "bags")
@@ -128,14 +125,15 @@ def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors, out, bias = shipped.value
-        # Of a word, the sum of its features' vectors and, last, how many they are.
-        of = Memory(lambda w: np.append(vectors[ids := features(w)].sum(0, dtype="float64"), len(ids)))
         for batch in batches:
             scores = []
             for text in batch["text"]:
-                counts = Counter(text.split())
-                total = np.fromiter(counts.values(), float, len(counts)) @ np.array([of(w) for w in counts]) if counts else np.append(np.zeros(DIM), 1)
-                z = out @ (total[:-1] / total[-1]) + bias
+                total, n = np.zeros(DIM), 0
+                for words in slices(text):
+                    ids = features(words)
+                    total += vectors[ids].sum(0, dtype="float64")
+                    n += len(ids)
+                z = out @ (total / max(n, 1)) + bias
                 scores.append(1 / (1 + np.exp(z[0] - z[1])))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": scores})
 

@@ -184,11 +184,22 @@ def test_score_equals_the_mean_of_the_whole_texts_vectors(spark):
     model = (rng.normal(size=(quality_classifier.BUCKETS, quality_classifier.DIM)).astype("float32"), rng.normal(size=(2, quality_classifier.DIM)), rng.normal(size=2))
     rows = ["one two two", "x" * 5000, "y" * 41 + "a " + "y" * 41 + "b", "", None, "é ü\tß"]
     got = {r.doc_id: r.score for r in quality_classifier.score(docs(spark, rows), model).collect()}
+    full = (1 << 64) - 1
+
+    def mixed(h):
+        h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & full
+        h = ((h ^ h >> 27) * 0x94D049BB133111EB) & full
+        return (h ^ h >> 31) & full
+
+    def poly(cs, base):
+        return sum(ord(c) * pow(base, k, 1 << 64) for k, c in enumerate(cs)) & full
+
     for i, t in enumerate(rows):
         ids = []
         for w in (t or "").split():
-            b = f"<{w}>"
-            ids += [zlib.crc32(g.encode()) % quality_classifier.BUCKETS for g in [w, *(b[k : k + n] for n in (3, 4) for k in range(len(b) - n + 1))]]
+            b = f"\n{w} "
+            grams = [poly(b[k : k + n][::-1], 0xC2B2AE3D27D4EB4F) for n in (3, 4) for k in range(len(b) - n + 1)]
+            ids += [mixed(h) % quality_classifier.BUCKETS for h in [mixed(poly(w, 0x9E3779B97F4A7C15)), *grams]]
         mean = model[0][ids].astype(float).mean(0) if ids else np.zeros(quality_classifier.DIM)
         z = model[1] @ mean + model[2]
         assert got[i] == pytest.approx(np.exp(z[1]) / np.exp(z).sum(), abs=1e-6)
