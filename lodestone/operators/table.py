@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import global_row_number
+from ..functions.ranking import global_row_number, global_running_sum
 
 STATISTICS = ("count", "sum", "mean", "min", "max", "std", "first", "last")
 
@@ -21,7 +22,7 @@ def finite(c: str) -> Column:
 
 def summary_statistics(df: DataFrame, statistics: list[tuple[str, str]], case_fields: list[str] = (), row_id: str | None = None) -> DataFrame:
     """One row per group: the record count and ``<field>_<statistic>`` columns. Numbers that are
-    not finite are passed over; first and last go by ``row_id``. An empty input gives no rows."""
+    not finite are passed over; first and last are those of the non-null values by ``row_id``. An empty input gives no rows."""
     out = []
     for field, stat in statistics:
         if stat not in STATISTICS:
@@ -30,27 +31,29 @@ def summary_statistics(df: DataFrame, statistics: list[tuple[str, str]], case_fi
         if stat in ("first", "last"):
             if row_id is None:
                 raise ValueError(f"{stat} needs row_id")
-            c = (F.min_by if stat == "first" else F.max_by)(field, row_id)
+            c = (F.min_by if stat == "first" else F.max_by)(field, F.when(F.col(field).isNotNull(), F.col(row_id)))
         else:
             c = {"count": F.count, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp}[stat](x)
         out.append(c.alias(f"{field}_{stat}"))
     return df.groupBy(*case_fields).agg(F.count("*").alias("count"), *out).where("count > 0")
 
 
-def _label(c: str) -> Column:
-    return F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\.0$", ""), F.lit("NULL"))
+def _label(df: DataFrame, c: str) -> Column:
+    """The text of a pivot value; whole floats print as integers, texts stay as they are."""
+    text = F.col(c).cast("string")
+    return F.coalesce(F.regexp_replace(text, r"\.0$", "") if dict(df.dtypes)[c] in ("float", "double") else text, F.lit("NULL"))
 
 
 def pivot_table(df: DataFrame, fields: list[str], pivot_field: str, value_field: str, row_id: str, aggregate: str = "first", limit: int = 512) -> DataFrame:
     """Long to wide, columns in first-seen order by ``row_id`` with names of letters, digits and _."""
-    seen = [r["_p"] for r in df.groupBy(_label(pivot_field).alias("_p")).agg(F.min(row_id).alias("o")).orderBy("o").limit(limit + 1).collect()]
+    seen = [r["_p"] for r in df.groupBy(_label(df, pivot_field).alias("_p")).agg(F.min(row_id).alias("o")).orderBy("o").limit(limit + 1).collect()]
     if len(seen) > limit:
         raise ValueError(f"more than {limit} columns")
     v = {
         "first": F.min_by(value_field, row_id), "sum": F.sum(finite(value_field)), "mean": F.avg(finite(value_field)),
         "min": F.min(finite(value_field)), "max": F.max(finite(value_field)), "count": F.count(value_field),
     }[aggregate]
-    out = df.withColumn("_p", _label(pivot_field)).groupBy(*fields).pivot("_p", seen).agg(v)
+    out = df.withColumn("_p", _label(df, pivot_field)).groupBy(*fields).pivot("_p", seen).agg(v)
     names: list[str] = list(fields)
     for s in seen:
         base = re.sub(r"[^A-Za-z0-9_]", "_", s)
@@ -63,8 +66,16 @@ def pivot_table(df: DataFrame, fields: list[str], pivot_field: str, value_field:
     return out.fillna(0, names[len(fields) :]) if aggregate == "count" else out
 
 
-def transpose_fields(df: DataFrame, columns: list[str], retain: list[str] = (), drop_nulls: bool = False) -> DataFrame:
-    """Wide to long: a row per input row and column, with FIELD and VALUE."""
+def transpose_fields(df: DataFrame, columns: list[str], retain: list[str] = (), drop_nulls: bool = False, labels: dict[str, str] | None = None, row_id: str | None = None) -> DataFrame:
+    """Wide to long: a row per input row and column, with FIELD (its label, if it has one) and VALUE, and
+    with ``row_id`` the 0-based row in that order as SRC_FID."""
+    if row_id is not None:
+        numbered = global_row_number(df, [F.col(row_id)], "SRC_FID").withColumn("SRC_FID", F.col("SRC_FID") - 1)
+        return transpose_fields(numbered, columns, [*retain, "SRC_FID"], drop_nulls, labels)
+    if labels:
+        names = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+        out = transpose_fields(df, columns, retain, drop_nulls)
+        return out.withColumn("FIELD", F.coalesce(names[F.col("FIELD")], F.col("FIELD")))
     types = {dict(df.dtypes)[c] for c in columns}
     whole = {"tinyint", "smallint", "int", "bigint"}
     kind = "bigint" if types <= whole else "double" if types <= whole | {"float", "double"} else "string"
@@ -128,36 +139,126 @@ def reclassify_field(df: DataFrame, field: str, method: str = "equal_interval",
 
 
 #: Suffix of each transform.
-SUFFIX = {"zscore": "_z", "minmax": "_minmax", "robust": "_robust", "log": "_log", "log1p": "_log1p", "sqrt": "_sqrt", "inverse": "_inv"}
+SUFFIX = {"zscore": "_z", "minmax": "_minmax", "robust": "_robust", "log": "_log", "log1p": "_log1p", "sqrt": "_sqrt", "inverse": "_inv", "boxcox": "_boxcox", "bin": "_bin"}
 
 
-def transform_fields(df: DataFrame, fields: list[str], transform: str) -> DataFrame:
-    """A scaled or transformed column per field; no spread gives 0, values out of domain null."""
+def _fits(df: DataFrame, fields: list[str], quantiles: list[float] = ()) -> dict[str, dict]:
+    """Extremes, mean, sample deviation, count and quantiles of every field, in one aggregate."""
+    made = []
+    for c in fields:
+        x = finite(c)
+        at = F.percentile(x, F.array(*(F.lit(q) for q in quantiles))) if quantiles else F.lit(None)
+        made.append(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("m"), F.stddev_samp(x).alias("sd"), F.count(x).alias("n"), at.alias("q")).alias(c))
+    row = df.agg(*made).first()
+    return {c: row[c].asDict() for c in fields}
+
+
+def boxcox_lambda(df: DataFrame, field: str, steps: int = 60) -> float:
+    """The Box-Cox parameter of greatest likelihood on [-5, 5], by golden section; each step is one aggregate."""
+    x = F.when(finite(field) > 0, finite(field))
+    base = df.agg(F.sum(F.log(x)).alias("logs"), F.count(x).alias("n")).first()
+    if not base["n"]:
+        return 1.0
+
+    def likelihood(lam: float) -> float:
+        y = F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / lam
+        spread = df.agg(F.var_pop(y)).first()[0]
+        return -math.inf if not spread or math.isnan(spread) else (lam - 1) * base["logs"] - base["n"] / 2 * math.log(spread)
+
+    ratio, lo, hi = (math.sqrt(5) - 1) / 2, -5.0, 5.0
+    a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+    fa, fb = likelihood(a), likelihood(b)
+    for _ in range(steps):
+        if fa < fb:
+            lo, a, fa = a, b, fb
+            b = lo + ratio * (hi - lo)
+            fb = likelihood(b)
+        else:
+            hi, b, fb = b, a, fa
+            a = hi - ratio * (hi - lo)
+            fa = likelihood(a)
+    return (lo + hi) / 2
+
+
+def transform_fields(df: DataFrame, fields: list[str], transform: str, bins: int = 5, bin_method: str = "equal_interval", boxcox: float | None = None, limit: int = 50) -> DataFrame:
+    """A scaled, transformed, binned or one-hot encoded column per field; no spread gives 0, values out of
+    domain null. Bins count from 1; one-hot columns stand in the order of the categories."""
+    if transform == "onehot":
+        for field in fields:
+            seen = [r[0] for r in df.select(field).where(F.col(field).isNotNull()).distinct().orderBy(field).limit(limit + 1).collect()]
+            if len(seen) > limit:
+                raise ValueError(f"more than {limit} categories")
+            df = df.withColumns({f"{field}_{re.sub('[^A-Za-z0-9_]', '_', str(v))}": F.coalesce((F.col(field) == F.lit(v)).cast("long"), F.lit(0).cast("long")) for v in seen})
+        return df
+    inner = [k / bins for k in range(1, bins)]
+    quantiles = [0.25, 0.5, 0.75] if transform == "robust" else inner if transform == "bin" and bin_method == "quantile" else []
+    fits = _fits(df, fields, quantiles) if transform in ("zscore", "minmax", "robust", "bin") else {}
     for field in fields:
-        x = finite(field)
+        x, f = finite(field), fits.get(field)
         if transform in ("zscore", "minmax", "robust"):
-            f = _fit(df, x)
             centre, spread = (f["m"], f["sd"]) if transform == "zscore" else (f["lo"], (f["hi"] or 0) - (f["lo"] or 0))
             if transform == "robust" and f["n"]:
-                q1, centre, q3 = _quantiles(df, x, [0.25, 0.5, 0.75])
+                q1, centre, q3 = f["q"]
                 spread = q3 - q1
             y = (x - F.lit(centre)) / F.lit(spread) if spread else F.when(x.isNotNull(), F.lit(0.0))
+        elif transform == "bin":
+            if bins < 2:
+                raise ValueError("at least 2 bins")
+            if not f["n"]:
+                cuts = []
+            elif bin_method == "std_dev":
+                cuts = [f["m"] + (f["sd"] or 0.0) * (k - bins / 2) for k in range(1, bins)]
+            else:
+                cuts = f["q"] if bin_method == "quantile" else [f["lo"] + (f["hi"] - f["lo"]) * q for q in inner]
+            y = F.when(x.isNotNull(), reduce(lambda a, b: a + b, [F.when(x > c, 1).otherwise(0) for c in cuts], F.lit(1))).cast("long")
+        elif transform == "boxcox":
+            lam = boxcox_lambda(df, field) if boxcox is None else boxcox
+            y = F.when(x > 0, F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / lam)
         else:
             y = {"log": F.when(x > 0, F.log(x)), "log1p": F.when(x > -1, F.log1p(x)), "sqrt": F.when(x >= 0, F.sqrt(x)), "inverse": F.when(x != 0, 1 / x)}[transform]
         df = df.withColumn(field + SUFFIX[transform], y)
     return df
 
 
-def calculate_composite_index(df: DataFrame, fields: list[str], row_id: str, weights: list[float] | None = None) -> DataFrame:
-    """Min-max scaled columns, their weighted mean, and its rank and percentile."""
+def calculate_composite_index(df: DataFrame, fields: list[str], row_id: str, weights: list[float] | None = None, scaling: str = "minmax", combine: str = "mean", output_range: str = "none") -> DataFrame:
+    """Scaled columns, their combination, and its rank and percentile. Missing values count as 0.5 (or 0
+    for z-scores and unscaled ones), and so does a column of one value under min-max."""
     weights = weights or [1.0] * len(fields)
-    scaled = transform_fields(df, fields, "minmax")
-    spans = {c: (f := _fit(df, finite(c)))["n"] and f["hi"] > f["lo"] for c in fields}
+    fits = _fits(df, fields)
+    missing = 0.5 if scaling in ("minmax", "percentile") else 0.0
+    if scaling == "percentile":
+        for c in fields:
+            # Rank among the values, counted by distinct value; equal values share the greatest rank.
+            counts = df.where(finite(c).isNotNull()).groupBy(finite(c).alias("_x")).agg(F.count("*").alias("_n"))
+            below = global_running_sum(counts, [F.col("_x")], "_n", "_below").select("_x", "_below")
+            df = df.join(below, finite(c) == F.col("_x"), "left").withColumn(f"{c}_scaled", (F.col("_below") - 1) / max(fits[c]["n"] - 1, 1)).drop("_x", "_below")
     for c in fields:
-        part = F.col(f"{c}_minmax") if spans[c] else F.lit(0.5)
-        scaled = scaled.withColumn(f"{c}_scaled", F.coalesce(part, F.lit(0.5))).drop(f"{c}_minmax")
-    total = reduce(lambda a, b: a + b, [F.col(f"{c}_scaled") * w for c, w in zip(fields, weights)])
-    scaled = scaled.withColumn("index", total / sum(weights))
+        x, f = finite(c), fits[c]
+        if scaling == "minmax":
+            part = (x - F.lit(f["lo"])) / F.lit(f["hi"] - f["lo"]) if f["n"] and f["hi"] > f["lo"] else F.lit(0.5)
+        elif scaling == "zscore":
+            part = (x - F.lit(f["m"])) / F.lit(f["sd"]) if f["sd"] else F.lit(0.0)
+        elif scaling == "percentile":
+            part = F.col(f"{c}_scaled")
+        else:
+            part = x
+        df = df.withColumn(f"{c}_scaled", F.coalesce(part, F.lit(missing)))
+    parts = [F.col(f"{c}_scaled") for c in fields]
+    if combine == "geometric_mean":
+        total = F.exp(reduce(lambda a, b: a + b, [F.log(F.greatest(p, F.lit(1e-9))) * w for p, w in zip(parts, weights)]) / sum(weights))
+    else:
+        total = reduce(lambda a, b: a + b, [p * w for p, w in zip(parts, weights)])
+        total = total / sum(weights) if combine == "mean" else total
+    scaled = df.withColumn("index", total)
+    if output_range != "none":
+        f = _fits(scaled, ["index"])["index"]
+        span = (f["hi"] or 0.0) - (f["lo"] or 0.0)
+        if output_range == "zscore":
+            y = (F.col("index") - F.lit(f["m"])) / F.lit(f["sd"]) if f["sd"] else F.lit(0.0)
+        else:
+            y = (F.col("index") - F.lit(f["lo"])) / F.lit(span) if span else F.lit(0.5)
+            y = y * 100 if output_range == "zero_to_100" else y
+        scaled = scaled.withColumn("index", y)
     n = scaled.count()
     out = global_row_number(scaled, [F.col("index").desc(), F.col(row_id)], "index_rank")
     return out.withColumn("index_pctl", 100.0 * (1 - (F.col("index_rank") - 1) / max(n - 1, 1)))
@@ -196,12 +297,100 @@ def estimate_time_to_event(df: DataFrame, age: str, event: str, stratum: str) ->
     return at.withColumn("km_survival", F.when(gone, 0.0).otherwise(F.exp(F.sum(log).over(later)))).select("km_stratum", "t", "risk", "d", "km_survival")
 
 
-def similarity_search(reference: DataFrame, candidates: DataFrame, fields: list[str], row_id: str, num_results: int = 10) -> DataFrame:
-    """The candidates nearest to the reference profile by standardised distance, ranked."""
+def similarity_search(reference: DataFrame, candidates: DataFrame, fields: list[str], row_id: str, num_results: int = 10, method: str = "euclidean", which: str = "most") -> DataFrame:
+    """The candidates most or least like the reference profile, ranked by standardised distance or by cosine,
+    with the standardised columns ``<field>_zd``; with ``both`` the most alike come first, each part with its match."""
     both = reference.select(*fields).unionByName(candidates.select(*fields))
     stats = both.agg(*(F.struct(F.avg(finite(c)).alias("m"), F.stddev_pop(finite(c)).alias("s")).alias(c) for c in fields)).first()
-    goal = reference.agg(*(F.avg((finite(c) - stats[c]["m"]) / max(stats[c]["s"] or 0, 1e-12)).alias(c) for c in fields)).first()
-    gap = [F.pow((finite(c) - stats[c]["m"]) / max(stats[c]["s"] or 0, 1e-12) - goal[c], F.lit(2.0)) for c in fields]
-    scored = candidates.withColumn("sim_score", F.sqrt(reduce(lambda a, b: a + b, gap)))
-    top = scored.where("sim_score IS NOT NULL").orderBy("sim_score", row_id).limit(num_results)
-    return top.withColumn("sim_rank", F.row_number().over(Window.orderBy("sim_score", row_id)).cast("long"))
+
+    def z(c: str) -> Column:
+        return (finite(c) - stats[c]["m"]) / max(stats[c]["s"] or 0, 1e-12)
+
+    goal = reference.agg(*(F.avg(z(c)).alias(c) for c in fields)).first()
+    scored = candidates.withColumns({f"{c}_zd": z(c) for c in fields})
+    total = lambda parts: reduce(lambda a, b: a + b, list(parts))
+    if method == "cosine":
+        dot, own = total(F.col(f"{c}_zd") * goal[c] for c in fields), total(F.col(f"{c}_zd") * F.col(f"{c}_zd") for c in fields)
+        norm = math.sqrt(sum(goal[c] ** 2 for c in fields))
+        scored = scored.withColumn("sim_score", F.when((own > 0) & F.lit(norm > 0), dot / (F.sqrt(own) * norm)).otherwise(0.0 * dot))
+        nearness = F.col("sim_score").desc()
+    else:
+        scored = scored.withColumn("sim_score", F.sqrt(total(F.pow(F.col(f"{c}_zd") - goal[c], F.lit(2.0)) for c in fields)))
+        nearness = F.col("sim_score").asc()
+    scored = scored.where("sim_score IS NOT NULL")
+    parts = []
+    for part in ("most", "least") if which == "both" else (which,):
+        order = [nearness if part == "most" else (F.col("sim_score").asc() if method == "cosine" else F.col("sim_score").desc()), F.col(row_id)]
+        # At most num_results rows.
+        top = scored.orderBy(*order).limit(num_results)
+        parts.append(top.withColumn("sim_rank", F.row_number().over(Window.orderBy(*order)).cast("long")).withColumn("match", F.lit(part)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def subset_features(df: DataFrame, row_id: str, size: float, size_method: str = "percentage", seed: int = 0, group_field: str | None = None) -> DataFrame:
+    """``training``: whether a row is among the exact number drawn, of each group or of all; rows are drawn in
+    the order of a seeded hash of row_id, so reruns agree. Groups are numbered by one window of narrow keys."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))
+    group = F.lit(1) if group_field is None else F.col(group_field)
+    keyed = df.withColumn("_g", group).withColumn("_key", key)
+    if group_field is None:
+        n = keyed.count()
+        take = min(n, math.floor(size / 100 * n + 0.5) if size_method == "percentage" else int(size))
+        ranked = global_row_number(keyed, [F.col("_key"), F.col(row_id)], "_rank")
+        return ranked.withColumn("training", F.col("_rank") <= take).drop("_g", "_key", "_rank")
+    w = Window.partitionBy("_g")
+    take = F.floor(F.lit(size / 100) * F.count("*").over(w) + 0.5) if size_method == "percentage" else F.lit(int(size))
+    ranked = keyed.withColumn("_take", take).withColumn("_rank", F.row_number().over(w.orderBy("_key", row_id)))
+    return ranked.withColumn("training", F.col("_rank") <= F.col("_take")).drop("_g", "_key", "_rank", "_take")
+
+
+def eighty_twenty_analysis(df: DataFrame, x: str, y: str, weight: str | None = None, threshold: float = 80.0, tolerance: float = 1e-8) -> DataFrame:
+    """Pareto concentration: a row per location (points that round to one cell of ``tolerance``), by falling
+    count, with its rank, running share in per cent and band; the head includes the row that crosses the threshold."""
+    cell = df.groupBy(F.round(F.col(x) / tolerance).alias("_kx"), F.round(F.col(y) / tolerance).alias("_ky"))
+    spots = cell.agg(F.min(x).alias("x"), F.min(y).alias("y"), F.sum(F.lit(1.0) if weight is None else finite(weight)).alias("incident_count")).drop("_kx", "_ky")
+    order = [F.col("incident_count").desc(), F.col("x"), F.col("y")]
+    ranked = global_running_sum(spots, order, "incident_count", "_run", rank="rank")
+    total = spots.agg(F.sum("incident_count")).first()[0] or 0.0
+    share = 100.0 * F.col("_run") / total if total else F.lit(0.0)
+    before = 100.0 * (F.col("_run") - F.col("incident_count")) / total if total else F.lit(0.0)
+    return ranked.select(
+        (F.col("rank") - 1).alias("location_id"), "x", "y", "incident_count", "rank", share.alias("cumulative_pct"),
+        F.when(before < threshold, "head").otherwise("tail").alias("band"),
+    )
+
+
+def hot_spot_analysis_comparison(first: DataFrame, second: DataFrame, bin_field: str, match_field: str, significance: float = 0.0) -> DataFrame:
+    """Per matched feature its category in both layers, the transition and whether they agree."""
+
+    def category(c: str) -> Column:
+        x = finite(c)
+        return F.when(x.isNull() | (F.abs(x) <= significance), "none").when(x > 0, "hot").otherwise("cold")
+
+    a = first.where(F.col(match_field).isNotNull()).select(match_field, F.col(bin_field).alias("bin1"))
+    b = second.select(match_field, F.col(bin_field).alias("bin2"))
+    both = a.join(b, match_field).withColumn("cat1", category("bin1")).withColumn("cat2", category("bin2"))
+    return both.withColumn("category", F.concat_ws("_to_", "cat1", "cat2")).withColumn("agreement", (F.col("cat1") == F.col("cat2")).cast("long"))
+
+
+def pairwise_comparison_weights(matrix: list[list[float]]) -> tuple[list[float], float]:
+    """The weights of a reciprocal comparison matrix, its principal eigenvector, and the consistency ratio."""
+    n = len(matrix)
+    w = [1.0 / n] * n
+    for _ in range(200):
+        v = [sum(a * x for a, x in zip(row, w)) for row in matrix]
+        total = sum(v)
+        v, w = [x / total for x in v], w
+        done, w = max(abs(a - b) for a, b in zip(v, w)) < 1e-14, v
+        if done:
+            break
+    top = sum(sum(a * x for a, x in zip(row, w)) / y for row, y in zip(matrix, w)) / n
+    #: The random consistency indices of matrices of 1 to 10 criteria.
+    random = [0.0, 0.0, 0.58, 0.90, 1.12, 1.24, 1.32, 1.41, 1.45, 1.49]
+    expected = random[min(n, 10) - 1]
+    return w, ((top - n) / (n - 1) / expected if n > 2 else 0.0)
+
+
+def split_by_attributes(df: DataFrame, fields: list[str], folder: str, format: str = "parquet") -> None:
+    """Writes one folder of files per combination of keys; rows go to the writers by key and a salt."""
+    df.repartition(*fields, F.floor(F.rand(7) * 8)).write.partitionBy(*fields).format(format).mode("errorifexists").save(folder)

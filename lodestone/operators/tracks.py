@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import global_row_number
+
 
 def _track(track: str, time: str, row_id: str):
     return Window.partitionBy(track).orderBy(time, row_id)
@@ -28,7 +30,7 @@ def calculate_motion_statistics(df: DataFrame, track: str, time: str, x: str, y:
 
 def reconstruct_tracks(df: DataFrame, track: str, time: str, x: str, y: str, row_id: str, time_gap: float | None = None, distance_gap: float | None = None) -> DataFrame:
     """One row per stretch without a gap: n_points, start_t, end_t, duration, length, mean_speed."""
-    w = _track(track, time, row_id)
+    df, w = df.where(F.col(time).isNotNull()), _track(track, time, row_id)
     out = df.withColumn("_d", _step(x, y, w)).withColumn("_dt", F.col(time) - F.lag(time).over(w))
     cut = F.lit(False)
     if time_gap is not None:
@@ -51,17 +53,28 @@ def time_series_smoothing(df: DataFrame, value: str, time: str, series: str, row
     return df.withColumn(output, F.when(valid, F.avg(F.col(value).cast("double")).over(w)))
 
 
-def detect_incidents(df: DataFrame, track: str, time: str, condition: str, row_id: str) -> DataFrame:
-    """Runs of fixes that meet a condition: incident_seq in the track, n_points, start_t, end_t, duration."""
-    w = _track(track, time, row_id)
+def detect_incidents(df: DataFrame, track: str, time: str, condition: str, row_id: str, mode: str = "segments") -> DataFrame:
+    """Runs of fixes that meet a condition, numbered from 1 over (track, start): as a row each, or with
+    ``points`` as their fixes with incident_status start, ongoing or end (a single fix is a start)."""
+    df, w = df.where(F.col(time).isNotNull()), _track(track, time, row_id)
     flagged = df.withColumn("_on", F.coalesce(F.expr(condition), F.lit(False)))
     starts = F.col("_on") & ~F.coalesce(F.lag("_on").over(w), F.lit(False))
-    flagged = flagged.withColumn("_start", starts).withColumn("incident_seq", F.sum(F.col("_start").cast("long")).over(w))
-    runs = flagged.where("_on").groupBy(F.col(track).alias("track_id"), "incident_seq")
-    return runs.agg(F.count("*").alias("n_points"), F.min(time).alias("start_t"), F.max(time).alias("end_t")).withColumn("duration", F.col("end_t") - F.col("start_t"))
-
-
-def collect_events(df: DataFrame, x: str, y: str, row_id: str, tolerance: float) -> DataFrame:
+    ends = F.col("_on") & ~F.coalesce(F.lead("_on").over(w), F.lit(False))
+    flagged = flagged.withColumn("_start", starts).withColumn("_end", ends).withColumn("incident_seq", F.sum(F.col("_start").cast("long")).over(w))
+    flagged = flagged.where("_on")
+    runs = flagged.groupBy(F.col(track).alias("track_id"), "incident_seq")
+    found = runs.agg(F.count("*").alias("n_points"), F.min(time).alias("start_t"), F.max(time).alias("end_t")).withColumn("duration", F.col("end_t") - F.col("start_t"))
+    found = global_row_number(found, [F.col("track_id"), F.col("incident_seq")], "incident_id")
+    if mode == "segments":
+        return found
+    status = F.when(F.col("_start"), "start").when(F.col("_end"), "end").otherwise("ongoing")
+    ids = found.select(F.col("track_id").alias(track), "incident_seq", "incident_id")
+    return flagged.withColumn("incident_status", status).join(ids, [track, "incident_seq"]).drop("_on", "_start", "_end")
+
+
+def collect_events(df: DataFrame, x: str, y: str, row_id: str, tolerance: float = 1e-8) -> DataFrame:
     """Points that round to one cell of ``tolerance``, as its first point with ICOUNT."""
+    if tolerance <= 0:
+        raise ValueError("the tolerance must be positive")
     cell = df.groupBy(F.round(F.col(x) / tolerance).alias("kx"), F.round(F.col(y) / tolerance).alias("ky"))
     return cell.agg(F.min_by(x, row_id).alias("x"), F.min_by(y, row_id).alias("y"), F.count("*").alias("ICOUNT"))

@@ -6,28 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import table as T
 from ..operators import tracks as K
-
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def _query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _rounded(df, *names):
-    for n in names:
-        df = df.withColumn(n, F.round(n, 6))
-    return df
-
+from .registry import ORACLE_SQL, QUERIES
+from .registry import query as _query
+from .registry import read as _read
+from .registry import rounded as _rounded
 
 def _fixes(spark, sf_dir):
     """Events as fixes: planar coordinates from their ids, time in seconds."""
@@ -112,6 +94,73 @@ def similarity_search(spark, sf_dir):
     return _rounded(out.select("p_partkey", "sim_score", "sim_rank"), "sim_score")
 
 
+_SCALED = "z AS (SELECT p_partkey, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS a, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () AS b FROM part), g AS (SELECT avg(a) AS ga, avg(b) AS gb FROM z WHERE p_partkey <= 3), s AS (SELECT p_partkey, (a * ga + b * gb) / (sqrt(a * a + b * b) * sqrt(ga * ga + gb * gb)) AS s FROM z, g WHERE p_partkey > 3)"
+
+
+@_query(f"""WITH {_SCALED}, r AS (SELECT p_partkey, s, row_number() OVER (ORDER BY s DESC, p_partkey) AS most, row_number() OVER (ORDER BY s, p_partkey) AS least FROM s)
+ SELECT round(s, 6) AS sim_score, most AS sim_rank, 'most' AS match FROM r WHERE most <= 10 UNION ALL SELECT round(s, 6), least, 'least' FROM r WHERE least <= 10""")
+def similarity_search_cosine(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    out = T.similarity_search(part.where("p_partkey <= 3"), part.where("p_partkey > 3"), ["p_size", "p_retailprice"], "p_partkey", method="cosine", which="both")
+    return _rounded(out.select("sim_score", "sim_rank", "match"), "sim_score")
+
+
+@_query("""WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7:' || c_custkey), c_custkey) AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)
+ SELECT c_custkey, c_mktsegment, k <= floor(0.3::DOUBLE * n + 0.5) AS training FROM r""")
+def subset_features(spark, sf_dir):
+    return T.subset_features(_read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", 30.0, seed=7, group_field="c_mktsegment")
+
+
+@_query("""WITH l AS (SELECT CAST(l_suppkey AS DOUBLE) AS x, CAST(l_linenumber AS DOUBLE) AS y, sum(l_quantity) AS incident_count FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS rank, sum(incident_count) OVER w AS run, sum(incident_count) OVER () AS total FROM l WINDOW w AS (ORDER BY incident_count DESC, x, y ROWS UNBOUNDED PRECEDING))
+ SELECT rank - 1 AS location_id, x, y, incident_count, rank, round(100 * run / total, 6) AS cumulative_pct, CASE WHEN 100 * (run - incident_count) / total < 80 THEN 'head' ELSE 'tail' END AS band FROM r""")
+def eighty_twenty_analysis(spark, sf_dir):
+    points = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"), "l_quantity")
+    return _rounded(T.eighty_twenty_analysis(points, "x", "y", "l_quantity"), "cumulative_pct")
+
+
+@_query("""WITH a AS (SELECT l_suppkey, avg(l_quantity) - 25.5 AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_suppkey, avg(l_quantity) - 25.5 AS b FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+ c AS (SELECT l_suppkey, round(a.b, 6) AS bin1, round(b.b, 6) AS bin2, CASE WHEN abs(a.b) <= 0.2 THEN 'none' WHEN a.b > 0 THEN 'hot' ELSE 'cold' END AS cat1, CASE WHEN abs(b.b) <= 0.2 THEN 'none' WHEN b.b > 0 THEN 'hot' ELSE 'cold' END AS cat2 FROM a JOIN b USING (l_suppkey))
+ SELECT *, cat1 || '_to_' || cat2 AS category, CAST(cat1 = cat2 AS BIGINT) AS agreement FROM c""")
+def hot_spot_analysis_comparison(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg((F.avg("l_quantity") - 25.5).alias("bin"))
+    first, second = (rows.where(F.col("l_returnflag") == f).drop("l_returnflag") for f in "RA")
+    return _rounded(T.hot_spot_analysis_comparison(first, second, "bin", "l_suppkey", 0.2), "bin1", "bin2")
+
+
+@_query("""WITH f AS (SELECT s_suppkey, s_acctbal AS v, min(s_acctbal) OVER () AS lo, max(s_acctbal) OVER () AS hi, avg(s_acctbal) OVER () AS m, stddev_samp(s_acctbal) OVER () AS s, quantile_cont(s_acctbal, [0.25, 0.5, 0.75]) OVER () AS q FROM supplier),
+ b AS (SELECT s_suppkey, [lo + (hi - lo) * 0.25, lo + (hi - lo) * 0.5, lo + (hi - lo) * 0.75] AS e, q, [m - s, m, m + s] AS d, v FROM f)
+ SELECT s_suppkey, 1 + len(list_filter(e, lambda c: v > c)) AS s_acctbal_bin, 'equal_interval' AS method FROM b UNION ALL SELECT s_suppkey, 1 + len(list_filter(q, lambda c: v > c)), 'quantile' FROM b UNION ALL SELECT s_suppkey, 1 + len(list_filter(d, lambda c: v > c)), 'std_dev' FROM b""")
+def transform_fields_bin(spark, sf_dir):
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    made = [T.transform_fields(rows, ["s_acctbal"], "bin", 4, m).select("s_suppkey", "s_acctbal_bin", F.lit(m).alias("method")) for m in ("equal_interval", "quantile", "std_dev")]
+    return made[0].union(made[1]).union(made[2])
+
+
+@_query("""SELECT c_custkey, CAST(c_mktsegment = 'AUTOMOBILE' AS BIGINT) AS c_mktsegment_AUTOMOBILE, CAST(c_mktsegment = 'BUILDING' AS BIGINT) AS c_mktsegment_BUILDING, CAST(c_mktsegment = 'MACHINERY' AS BIGINT) AS c_mktsegment_MACHINERY FROM customer""")
+def transform_fields_onehot(spark, sf_dir):
+    out = T.transform_fields(_read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], "onehot")
+    return out.select("c_custkey", "c_mktsegment_AUTOMOBILE", "c_mktsegment_BUILDING", "c_mktsegment_MACHINERY")
+
+
+@_query("""SELECT p_partkey, round((pow(p_retailprice, 0.5) - 1) / 0.5, 6) AS p_retailprice_boxcox FROM part""")
+def transform_fields_boxcox(spark, sf_dir):
+    return _rounded(T.transform_fields(_read(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), ["p_retailprice"], "boxcox", boxcox=0.5).select("p_partkey", "p_retailprice_boxcox"), "p_retailprice_boxcox")
+
+
+@_query("""WITH s AS (SELECT p_partkey, (SELECT count(*) FROM part q WHERE q.p_size <= p.p_size) - 1 AS a, (SELECT count(*) FROM part q WHERE q.p_retailprice <= p.p_retailprice) - 1 AS b, (SELECT count(*) FROM part) - 1 AS m FROM part p),
+ i AS (SELECT p_partkey, exp((ln(greatest(a / m::DOUBLE, 1e-9)) * 2.0 + ln(greatest(b / m::DOUBLE, 1e-9)) * 1.0) / 3.0) AS g FROM s), r AS (SELECT p_partkey, (g - min(g) OVER ()) / (max(g) OVER () - min(g) OVER ()) * 100 AS g FROM i)
+ SELECT p_partkey, round(g, 6) AS "index" FROM r""")
+def calculate_composite_index_percentile(spark, sf_dir):
+    out = T.calculate_composite_index(_read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], "p_partkey", [2.0, 1.0], "percentile", "geometric_mean", "zero_to_100")
+    return _rounded(out.select("p_partkey", "index"), "index")
+
+
+@_query("""SELECT o_custkey, count(*) AS count, arg_min(c, o_orderkey) AS c_first, arg_max(c, o_orderkey) AS c_last FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS c FROM orders) WHERE c IS NOT NULL GROUP BY 1""")
+def summary_statistics_first_last(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("c")).where("c IS NOT NULL")
+    return T.summary_statistics(rows, [("c", "first"), ("c", "last")], ["o_custkey"], "o_orderkey")
+
+
 @_query(f"WITH {FIXES} SELECT event_id, user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS end_time FROM e")
 def calculate_end_time(spark, sf_dir):
     return T.calculate_end_time(_fixes(spark, sf_dir), "t", ["user_id"], "event_id").select("event_id", "user_id", "t", "end_time")
@@ -152,7 +201,7 @@ def time_series_smoothing(spark, sf_dir):
 
 @_query(f"""WITH {FIXES}, f AS (SELECT *, coalesce(value > 50, false) AS c, coalesce(value > 50, false) AND NOT coalesce(lag(coalesce(value > 50, false)) OVER w, false) AS s FROM e {_W}),
  q AS (SELECT *, CAST(sum(CAST(s AS BIGINT)) OVER w AS BIGINT) AS incident_seq FROM f {_W})
- SELECT user_id AS track_id, incident_seq, count(*) AS n_points, min(t) AS start_t, max(t) AS end_t, max(t) - min(t) AS duration FROM q WHERE c GROUP BY ALL""")
+ SELECT user_id AS track_id, incident_seq, count(*) AS n_points, min(t) AS start_t, max(t) AS end_t, max(t) - min(t) AS duration, row_number() OVER (ORDER BY user_id, incident_seq) AS incident_id FROM q WHERE c GROUP BY user_id, incident_seq""")
 def detect_incidents(spark, sf_dir):
     return K.detect_incidents(_fixes(spark, sf_dir), "user_id", "t", "value > 50", "event_id")
 
@@ -160,3 +209,7 @@ def detect_incidents(spark, sf_dir):
 @_query(f"WITH {FIXES} SELECT round(x / 50) AS kx, round(y / 50) AS ky, arg_min(x, event_id) AS x, arg_min(y, event_id) AS y, count(*) AS ICOUNT FROM e GROUP BY 1, 2")
 def collect_events(spark, sf_dir):
     return K.collect_events(_fixes(spark, sf_dir), "x", "y", "event_id", 50.0)
+
+
+# These register theirs as they are imported.
+from . import proximity, rasters  # noqa: E402, F401
