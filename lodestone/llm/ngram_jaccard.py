@@ -13,8 +13,8 @@ share a combination. Thresholds are the same at every size.
 
 Each set has a bitmap of the parity of its tokens per slot: sets that differ in d tokens differ in at most d
 bits, which rules out most candidates beforehand. The others are verified on whole sets, made again from the whole texts. A list first compares its
-sets with its least one, then with its greatest, which links groups of near copies without pairing
-them all; lists whose sets are by then of one component have no more to tell, and the rest compare
+sets with a few of them, the least, the greatest and some by hash, which links groups of near copies without
+pairing them all; lists whose sets are by then of one component have no more to tell, and the rest compare
 sets of different components only. Every link between components is thus verified, and components
 are exact; ``links`` holds the verified links that joined them, not all links within a component.
 Spokes of a hub are dealt in blocks, each with a copy of the hub's text, so no hub is one task.
@@ -52,8 +52,8 @@ SPOKES = 64
 SLOTS = 1 << 22
 #: Longs of a set's bitmap of parities.
 BITS = ("b0", "b1", "b2", "b3")
-#: Rounds of comparing lists of combinations with one of their sets before the rest is compared.
-ROUNDS = 1
+#: Sets that each list of combinations is compared with, twice, before the rest is compared.
+HUBS = 8
 #: Digests a task remembers to index each class once; it then starts anew.
 REMEMBERED = 1_000_000
 
@@ -269,11 +269,14 @@ class _Join:
         discard(wanted)
         return out
 
-    def star(self, index: DataFrame, texts: DataFrame, hub) -> None:
-        """Compares the sets of each live list with one of them."""
+    def star(self, index: DataFrame, texts: DataFrame, *orders) -> None:
+        """Compares the sets of each live list with a few of them, the first by each of the orders."""
         theirs = [f"hub_{b}" for b in BITS]
+        node = F.struct("id", "id_root", "n", *BITS)
+        picks = F.array(*(F.min_by(node, order) for order in orders))
+        hubs = self.live(index, F.array_distinct(picks).alias("p")).select("key", F.explode("p").alias("p"))
         renamed = [F.col(f"p.{b}").alias(t) for b, t in zip(BITS, theirs)]
-        hubs = self.live(index, hub.alias("p")).select("key", F.col("p.id").alias("hub"), F.col("p.id_root").alias("hub_root"), F.col("p.n").alias("m"), *renamed)
+        hubs = hubs.select("key", F.col("p.id").alias("hub"), F.col("p.id_root").alias("hub_root"), F.col("p.n").alias("m"), *renamed)
         pairs = self.rooted(index, "id").join(hubs, "key").where((F.col("id_root") != F.col("hub_root")) & self.fits("n", "m", BITS, theirs))
         self.compare(pairs.select(F.col("id").alias("a"), "hub"), texts)
 
@@ -291,8 +294,7 @@ class _Join:
         percent = self.percent
         index = self.lists(self.docs, lambda tokens: prefix_keys(tokens, percent))
         texts = self.texts(self.docs, index)
-        for pick in (F.min, F.max):
-            self.star(index, texts, pick(F.struct("id", "id_root", "n", *BITS)))
+        self.star(index, texts, F.col("id"), -F.col("id"), F.xxhash64("id"))
         short, long = index.where(F.col("c") <= self.frequent), index.where(F.col("c") > self.frequent)
         self.compare(self.enough(self.across(short), long), texts)
         # Similar sets share at least so many keys; those of long lists must make them up.
@@ -319,9 +321,9 @@ class _Join:
         marked, percent = docs.sparkSession.sparkContext.broadcast(self.marked(docs)), self.percent
         index = self.lists(docs, lambda tokens: combined_keys(tokens, percent, marked.value))
         texts = self.texts(docs, index)
-        for k in range(ROUNDS):
-            # Any component of a list may give the next set to compare with, however few it has.
-            self.star(index, texts, F.min_by(F.struct("id", "id_root", "n", *BITS), F.struct(F.xxhash64("id_root", F.lit(k)), F.xxhash64("id", F.lit(k)))))
+        self.star(index, texts, *(F.xxhash64("id", F.lit(k)) for k in range(HUBS)))
+        # Now any component of a list may give the next ones, however few nodes it has.
+        self.star(index, texts, *(F.struct(F.xxhash64("id_root", F.lit(k)), F.xxhash64("id", F.lit(k))) for k in range(HUBS)))
         self.compare(self.across(index).select("a", "hub"), texts)
         discard(index, texts, docs)
 
