@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 
 from lodestone.llm import exact_dedup, html_extract, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
-from lodestone.llm.common import fresh_path
+from lodestone.llm.common import fresh_path, stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, n long"
 
@@ -115,6 +115,21 @@ def test_secret_scan_matches_full_scan(spark):
         assert got[i] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
 
 
+def test_secret_counts_match_a_plain_scan(spark):
+    rng = random.Random(9)
+    bits = ["password=hunter22", 'API_KEY": "abcdef123"', "Token : x.y-z_9", "AKIA" + "Q7" * 9, "deadbeef" * 4, "secre", "ab12" * 5, "é", " ", "\n", "pass", "word", "tok", "en=abcdefgh", "x" * 3000, "PASSWD='" + "9" * 30]
+    rows = [None, "", *("".join(rng.choices(bits, k=rng.randrange(1, 12))) for _ in range(200)), "y" * 2_000_000 + " secret=abcdef99"]
+    word = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    got = {r.doc_id: r for r in secret_scan.scan(docs(spark, rows).union(docs(spark, rows[:3]))).collect()}
+    for i, t in enumerate(rows):
+        found = [(m.start(), 0, "assign", m.end()) for m in word.finditer(t or "") if len(m[1]) >= 6]
+        found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 20]
+        found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 24]
+        r, kinds = got[i], [x[2] for x in found]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found)).encode()).hexdigest()
+
+
 PAGE = "<html><head><title>t</title></head><body><nav>menu</nav>{a}<footer>f</footer></body></html>"
 
 
@@ -257,7 +272,7 @@ def test_packing_returns_the_ids_of_pieces_and_sequences(spark):
 
     rows = [*texts(), "one"]
     t = Tokenizer.from_file(packing.default_vocabulary())
-    made = packing.pack(docs(spark, rows).union(docs(spark, rows[:4])), window=64).localCheckpoint()
+    made = stored(packing.pack(docs(spark, rows).union(docs(spark, rows[:4])), window=64), "packed")
     got = made.collect()
     assert len(got) == len({(r.sequence_id, r.offset) for r in got})
     for r in got:
