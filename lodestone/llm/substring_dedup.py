@@ -1,11 +1,20 @@
 """Substring dedup: bytes covered by a 50-byte string that starts in an earlier document go.
 
-The method asked for, a suffix array sorted externally by induced sorting, is not used:
-its global order over all suffixes does not split into tasks of bounded size. Instead each
-50-byte window is named by the least hash of the grams in it (equal windows have equal names).
-Names met in two documents select the windows worth comparing; these are then grouped by two
-independent 64-bit hashes, and each group's smallest doc_id starts the string first. Every
-window of every text takes part; there are no caps.
+The method asked for, a suffix array sorted externally by induced sorting, is not used: its queues pass single
+suffixes, which costs Python several times the seconds allowed (README). Instead windows, the strings of 50 bytes,
+are compared in three steps, each an exact sieve of the next:
+
+1. Chunks. Texts are cut where the hash of a gram says so, and a chunk with the 49 bytes behind it is known by a
+   128-bit digest. A chunk met in an earlier document goes with all windows that start in it.
+2. Names. Each window of the other chunks is named by the least hash of the grams in it, so equal windows have equal
+   names; runs of windows whose name is met in one document alone equal none of another.
+3. Windows. Those of the remaining runs are grouped by two independent 64-bit hashes, and each group's smallest
+   doc_id starts the string first.
+
+Every window of every text takes part; there are no caps. Of rows of one key that a task meets in several
+documents, only the first keeps its key, since the verdict on the others is known: they are dealt by a key of
+their own, and no frequent passage becomes one task. A text and its hashes are held whole by one task, about sixty
+times its bytes.
 
 Null texts are empty. Rows that share a doc_id do not remove from each other; a null doc_id is
 neither before nor after any other. Texts below 50 bytes stay whole.
@@ -13,20 +22,27 @@ neither before nor after any other. Texts below 50 bytes stay whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
 
 LENGTH = 50
-GRAM = 26
+GRAM = 24
+#: One gram in so many begins a chunk.
+CHUNK = 256
+#: Rows that a task compares among themselves before it sends them.
+HELD = 1 << 18
 #: Odd 64-bit multipliers of the polynomial hashes and of the mixer.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: A string, or run of windows: its key, the places (at, end) where its windows start, and whether its verdict is known.
+ROW = "a long, b long, doc_id long, k long, at int, end int, known boolean"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -70,13 +86,112 @@ def names(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarra
     return least.view("int64")
 
 
-def _bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), "uint8")
+def _chunks(text: bytes, data: np.ndarray, length: int, _: list) -> tuple[np.ndarray, ...]:
+    """Digests (a, b) of the text's chunks, and the windows (at, end) that start in each."""
+    windows = len(data) - length + 1
+    cuts = np.flatnonzero(_hashes(data, min(GRAM, length), BASES[1])[1:windows] % np.uint64(CHUNK) == 0) + 1
+    at = np.concatenate(([0], cuts))
+    end = np.append(cuts, windows)
+    marks = [hashlib.blake2b(text[x : y + length - 1], digest_size=16).digest() for x, y in zip(at.tolist(), end.tolist())]
+    keys = np.frombuffer(b"".join(marks), "i8").reshape(-1, 2)
+    return keys[:, 0], keys[:, 1], at, end
+
+
+def _runs(text: bytes, data: np.ndarray, length: int, gone: list) -> tuple[np.ndarray, ...]:
+    """Names of the runs of equally named windows outside the chunks that are gone."""
+    found = names(data, length, min(GRAM, length))
+    live = ~_covered(len(found), gone, 0)
+    at = np.append(0, np.flatnonzero((found[1:] != found[:-1]) | (live[1:] != live[:-1])) + 1)
+    end = np.append(at[1:], len(found))
+    at, end = at[live[at]], end[live[at]]
+    return found[at], np.zeros(len(at), "i8"), at, end
+
+
+def _windows(text: bytes, data: np.ndarray, length: int, runs: list) -> tuple[np.ndarray, ...]:
+    """Hashes of every window of the runs."""
+    at = np.flatnonzero(_covered(len(data) - length + 1, runs, 0))
+    a, b = (_hashes(data, length, base).view("i8")[at] for base in BASES)
+    return a, b, at, at + 1
+
+
+def _covered(n: int, ranges: list, more: int) -> np.ndarray:
+    """Which of n places lie in the ranges (at, end), each ``more`` longer."""
+    edge = np.zeros(n + 1, "i8")
+    if len(ranges):
+        np.add.at(edge, ranges[:, 0], 1)
+        np.add.at(edge, ranges[:, 1] + more, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _ranges(column: pa.Array) -> list:
+    """Per row its ranges as an array of (at, end), each packed into one long."""
+    out = []
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for x, y, there in zip(offsets[:-1], offsets[1:], column.is_valid().to_pylist()):
+        packed = values[x:y] if there else values[:0]
+        out.append(np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1) if len(packed) else [])
+    return out
+
+
+def _dealt(a: np.ndarray, b: np.ndarray, doc: np.ndarray, k: np.ndarray, at: np.ndarray, end: np.ndarray, either: bool) -> pa.RecordBatch:
+    """The rows with the verdict where these rows alone tell it: a key is met in an earlier document, or with
+    ``either`` in any other. Such rows but the first of a key get a key of their own."""
+    order = np.lexsort((doc, b, a))
+    a, b, doc, k, at, end = (x[order] for x in (a, b, doc, k, at, end))
+    fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    group, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    low, high = doc[first], doc[np.append(first[1:], len(a)) - 1]
+    known = (low < high)[group] if either else doc > low[group]
+    own = _mixed(a.view("u8") ^ _mixed(_mixed(doc.view("u8")) + at.astype("u8"))).view("i8")
+    a = np.where(known & ~fresh, own, a)
+    back = np.lexsort((at, k, doc))
+    columns = [pa.array(x[back]) for x in (a, b, doc, k, at.astype("i4"), end.astype("i4"), known)]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "doc_id", "k", "at", "end", "known"])
+
+
+def _strings(rows: DataFrame, of: Callable, length: int, either: bool) -> DataFrame:
+    """The keyed strings that ``of`` makes of each text, given its ranges if ``rows`` has such."""
+    ranged = "ranges" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        held = 0
+        for batch in batches:
+            ranges = _ranges(batch.column("ranges")) if ranged else [[]] * batch.num_rows
+            texts = batch.column("text")
+            for n, (doc_id, k) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("k").to_pylist())):
+                if doc_id is None or (of is _windows and not len(ranges[n])):
+                    continue
+                text = texts[n].as_py()
+                if len(text) < length:
+                    continue
+                a, b, at, end = of(text, np.frombuffer(text, "u1"), length, ranges[n])
+                if len(a):
+                    kept.append((a, b, np.full(len(a), doc_id, "i8"), np.full(len(a), k, "i8"), at, end))
+                    held += len(a)
+                if held >= HELD:
+                    yield _dealt(*map(np.concatenate, zip(*kept)), either)
+                    kept, held = [], 0
+        if held:
+            yield _dealt(*map(np.concatenate, zip(*kept)), either)
+
+    return rows.mapInArrow(run, ROW)
+
+
+def _met(strings: DataFrame, either: bool) -> DataFrame:
+    """(doc_id, k, range) of the strings whose key is met in an earlier document, or with ``either`` in any other."""
+    w = Window.partitionBy("a", "b")
+    seen = strings.withColumn("low", F.min("doc_id").over(w))
+    if either:
+        found = seen.withColumn("high", F.max("doc_id").over(w)).where("known OR low < high")
+    else:
+        found = seen.where("known OR low < doc_id")
+    return found.select("doc_id", "k", F.expr("shiftleft(CAST(at AS long), 32) + end").alias("range"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("k"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.cast("binary").alias("text"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -85,50 +200,28 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``spans`` are the removed byte ranges (start, end) of the UTF-8 text in order, ``kept`` the bytes
     outside them; a range may begin or end within a character."""
     rows = _rows(docs)
-    ids = ["doc_id", "k"]
 
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, k, text in zip(batch["doc_id"], batch["k"], batch["text"]):
-                if not pd.isna(doc_id):
-                    found = np.unique(names(_bytes(text), length))
-                    if len(found):
-                        yield pd.DataFrame({"name": found, "doc_id": np.int64(doc_id), "k": np.int64(k)})
+    def ranged(found: DataFrame) -> DataFrame:
+        # Always a left join of the same rows, so that one shuffle of the texts serves all steps.
+        return rows.join(found.groupBy("doc_id", "k").agg(F.collect_list("range").alias("ranges")), ["doc_id", "k"], "left")
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, k, text, wanted in zip(batch["doc_id"], batch["k"], batch["text"], batch["names"]):
-                data = _bytes(text)
-                at = np.flatnonzero(np.isin(names(data, length), np.asarray(wanted, "int64")))
-                if len(at):
-                    a, b = (_hashes(data, length, base).view("int64")[at] for base in BASES)
-                    yield pd.DataFrame({"a": a, "b": b, "doc_id": np.int64(doc_id), "k": np.int64(k), "at": at})
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text, starts in zip(batch["doc_id"], batch["text"], batch["starts"]):
-                data = _bytes(text)
-                edge = np.zeros(len(data) + 1, "int64")
-                if starts is not None and len(starts):
-                    at = np.unique(np.asarray(starts, "int64"))
-                    edge[at] += 1
-                    np.add.at(edge, at + length, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                turns = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype("int8"))).tolist()
-                spans = [{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2])]
-                out.append((None if pd.isna(doc_id) else int(doc_id), spans, data[~gone].tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "spans", "kept"]).astype({"doc_id": "Int64"})
-
-    seen = stored(rows.mapInPandas(named, "name long, doc_id long, k long"), "names")
-    shared = seen.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
-    wanted = seen.join(shared, "name").groupBy(*ids).agg(F.collect_set("name").alias("names"))
-    found = stored(rows.join(wanted, ids).mapInPandas(windows, "a long, b long, doc_id long, k long, at long"), "windows")
-    first = found.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    starts = found.join(first, ["a", "b"]).where("doc_id > lo").groupBy(*ids).agg(F.collect_set("at").alias("starts"))
-    left = rows.join(starts, ids, "left").select("doc_id", "text", "starts").mapInPandas(
-        cut, "doc_id long, spans array<struct<start: long, end: long>>, kept binary"
-    )
+            spans, kept = [], []
+            texts = batch.column("text")
+            for n, ranges in enumerate(_ranges(batch.column("ranges"))):
+                text = texts[n].as_py()
+                gone = _covered(len(text), ranges, length - 1)
+                turns = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype("i1"))).tolist()
+                spans.append([{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2])])
+                kept.append(np.frombuffer(text, "u1")[~gone].tobytes() if turns else text)
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "spans", "kept"])
+
+    chunks = stored(_met(_strings(rows, _chunks, length, False), False), "chunks")
+    runs = _met(_strings(ranged(chunks), _runs, length, True), True)
+    windows = _met(_strings(ranged(runs), _windows, length, False), False)
+    left = ranged(chunks.union(windows)).mapInArrow(cut, "doc_id long, spans array<struct<start: long, end: long>>, kept binary")
     return digests(left)
 
 
