@@ -2,17 +2,19 @@
 
 The method asked for, a suffix array sorted externally by induced sorting, is not used: its queues pass single
 suffixes, which costs Python several times the seconds allowed (README). Instead windows, the strings of 50 bytes,
-are compared in three steps, each an exact sieve of the next:
+are compared in four steps, each of which leaves less to the next:
 
 1. Chunks. Texts are cut where the hash of a gram says so, and a chunk with the 49 bytes behind it is known by a
    128-bit digest. A chunk met in an earlier document goes with all windows that start in it.
 2. Names. Each window of the other chunks is named by the least hash of the grams in it, so equal windows have equal
    names; runs of windows whose name is met in one document alone equal none of another.
-3. Windows. Those of the remaining runs are grouped by two independent 64-bit hashes, and each group's smallest
+3. Runs. A run of one name goes, like a chunk, if the same bytes are a run in an earlier document. Names that are
+   left in one document alone need no more comparing.
+4. Windows. Those of the remaining runs are grouped by two independent 64-bit hashes, and each group's smallest
    doc_id starts the string first.
 
 Every window of every text takes part; there are no caps. Of rows of one key that a task meets in several
-documents, only the first keeps its key, since the verdict on the others is known: they are dealt by a key of
+documents, only a few keep their key, since the verdict on the others is known: they are dealt by a key of
 their own, and no frequent passage becomes one task. A text and its hashes are held whole by one task, about sixty
 times its bytes.
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 LENGTH = 50
-GRAM = 24
+GRAM = 18
 #: One gram in so many begins a chunk.
 CHUNK = 256
 #: Rows that a task compares among themselves before it sends them.
@@ -41,8 +43,15 @@ HELD = 1 << 18
 #: Odd 64-bit multipliers of the polynomial hashes and of the mixer.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-#: A string, or run of windows: its key, the places (at, end) where its windows start, and whether its verdict is known.
-ROW = "a long, b long, doc_id long, k long, at int, end int, known boolean"
+#: Rows of a name that keep it, of those a task holds, beside the greatest document's.
+KEPT = 8
+#: Bits of the length beside the place of a string in ``pos``; longer chunks and runs are split.
+LONG, SHORT = 20, 8
+#: Verdicts on a row that its task knows already: it goes, or has to be compared.
+GONE, COMPARE = 1, 2
+#: A chunk or run of windows: its key (a, b), its place and length, its verdict or 0. In this order rows compress well.
+NAMED = "a long, pos long, doc_id long, k long, verdict int"
+ROW = NAMED + ", b long"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -86,25 +95,51 @@ def names(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarra
     return least.view("int64")
 
 
+def _split(at: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges cut into such of at most so many windows."""
+    parts = -(-(end - at) // most)
+    if (parts == 1).all():
+        return at, end
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(at, parts) + nth * most
+    return start, np.minimum(start + most, np.repeat(end, parts))
+
+
+def _digests(text: bytes, at: np.ndarray, end: np.ndarray, length: int, size: int) -> np.ndarray:
+    """Digests of so many longs of the bytes of windows at to end."""
+    marks = [hashlib.blake2b(text[x : y + length - 1], digest_size=8 * size).digest() for x, y in zip(at.tolist(), end.tolist())]
+    return np.frombuffer(b"".join(marks), "i8").reshape(-1, size)
+
+
 def _chunks(text: bytes, data: np.ndarray, length: int, _: list) -> tuple[np.ndarray, ...]:
     """Digests (a, b) of the text's chunks, and the windows (at, end) that start in each."""
     windows = len(data) - length + 1
     cuts = np.flatnonzero(_hashes(data, min(GRAM, length), BASES[1])[1:windows] % np.uint64(CHUNK) == 0) + 1
-    at = np.concatenate(([0], cuts))
-    end = np.append(cuts, windows)
-    marks = [hashlib.blake2b(text[x : y + length - 1], digest_size=16).digest() for x, y in zip(at.tolist(), end.tolist())]
-    keys = np.frombuffer(b"".join(marks), "i8").reshape(-1, 2)
+    at, end = _split(np.append(0, cuts), np.append(cuts, windows), (1 << LONG) - 1)
+    keys = _digests(text, at, end, length, 2)
     return keys[:, 0], keys[:, 1], at, end
 
 
+def _named(found: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(at, end) of the runs of equal names in the places that are live, and 48 bits of their names."""
+    at = np.append(0, np.flatnonzero((found[1:] != found[:-1]) | (live[1:] != live[:-1])) + 1)
+    end = np.append(at[1:], len(found))
+    at, end = _split(at[live[at]], end[live[at]], (1 << SHORT) - 1)
+    return at, end, (found[at].view("u8") >> np.uint64(16)).view("i8")
+
+
 def _runs(text: bytes, data: np.ndarray, length: int, gone: list) -> tuple[np.ndarray, ...]:
     """Names of the runs of equally named windows outside the chunks that are gone."""
     found = names(data, length, min(GRAM, length))
-    live = ~_covered(len(found), gone, 0)
-    at = np.append(0, np.flatnonzero((found[1:] != found[:-1]) | (live[1:] != live[:-1])) + 1)
-    end = np.append(at[1:], len(found))
-    at, end = at[live[at]], end[live[at]]
-    return found[at], np.zeros(len(at), "i8"), at, end
+    at, end, a = _named(found, ~_covered(len(found), gone, 0))
+    return a, np.zeros(len(at), "i8"), at, end
+
+
+def _same(text: bytes, data: np.ndarray, length: int, runs: list) -> tuple[np.ndarray, ...]:
+    """Names and digests of the given runs."""
+    at, end = runs[:, 0], runs[:, 1]
+    a = (names(data, length, min(GRAM, length))[at].view("u8") >> np.uint64(16)).view("i8")
+    return a, _digests(text, at, end, length, 1)[:, 0], at, end
 
 
 def _windows(text: bytes, data: np.ndarray, length: int, runs: list) -> tuple[np.ndarray, ...]:
@@ -133,23 +168,41 @@ def _ranges(column: pa.Array) -> list:
     return out
 
 
-def _dealt(a: np.ndarray, b: np.ndarray, doc: np.ndarray, k: np.ndarray, at: np.ndarray, end: np.ndarray, either: bool) -> pa.RecordBatch:
-    """The rows with the verdict where these rows alone tell it: a key is met in an earlier document, or with
-    ``either`` in any other. Such rows but the first of a key get a key of their own."""
+def _dealt(a: np.ndarray, b: np.ndarray, doc: np.ndarray, k: np.ndarray, at: np.ndarray, end: np.ndarray, of: Callable) -> pa.RecordBatch:
+    """The rows with the verdict where these rows alone tell it: a key is met in an earlier document, a name in any
+    other. Of such rows those that others need not meet get a key of their own."""
     order = np.lexsort((doc, b, a))
     a, b, doc, k, at, end = (x[order] for x in (a, b, doc, k, at, end))
-    fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    group, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
-    low, high = doc[first], doc[np.append(first[1:], len(a)) - 1]
-    known = (low < high)[group] if either else doc > low[group]
-    own = _mixed(a.view("u8") ^ _mixed(_mixed(doc.view("u8")) + at.astype("u8"))).view("i8")
-    a = np.where(known & ~fresh, own, a)
+    turn = a[1:] != a[:-1]
+    fresh = np.append(True, turn | (b[1:] != b[:-1]))
+    low = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    verdict = np.zeros(len(a), "i4")
+    own = np.zeros(len(a), bool)
+    if of is not _runs:
+        verdict[doc > low] = GONE
+        own = verdict > 0
+    if of in (_runs, _same):
+        # Rows of names that several documents have, those that are gone left out.
+        left = np.flatnonzero(~own)
+        left = left[np.lexsort((doc[left], a[left]))]
+        head = np.append(True, a[left][1:] != a[left][:-1])
+        group, first = np.cumsum(head) - 1, np.flatnonzero(head)
+        last = np.append(first[1:], len(left)) - 1
+        shared = (doc[left[first]] < doc[left[last]])[group]
+        verdict[left[shared]] = COMPARE
+        nth = np.arange(len(left))
+        own[left[shared & (nth - first[group] >= KEPT) & (nth < last[group])]] = True
+    mine = _mixed(a.view("u8") ^ _mixed(_mixed(doc.view("u8")) + at.astype("u8")))
+    if of is _runs:
+        mine >>= np.uint64(16)
+    a = np.where(own, mine.view("i8"), a)
     back = np.lexsort((at, k, doc))
-    columns = [pa.array(x[back]) for x in (a, b, doc, k, at.astype("i4"), end.astype("i4"), known)]
-    return pa.RecordBatch.from_arrays(columns, ["a", "b", "doc_id", "k", "at", "end", "known"])
+    pos = at << (LONG if of is _chunks else SHORT) | (end - at)
+    columns = {"a": a, "pos": pos, "doc_id": doc, "k": k, "verdict": verdict} | ({} if of is _runs else {"b": b})
+    return pa.RecordBatch.from_pydict({c: pa.array(x[back]) for c, x in columns.items()})
 
 
-def _strings(rows: DataFrame, of: Callable, length: int, either: bool) -> DataFrame:
+def _strings(rows: DataFrame, of: Callable, length: int) -> DataFrame:
     """The keyed strings that ``of`` makes of each text, given its ranges if ``rows`` has such."""
     ranged = "ranges" in rows.columns
 
@@ -160,7 +213,7 @@ def _strings(rows: DataFrame, of: Callable, length: int, either: bool) -> DataFr
             ranges = _ranges(batch.column("ranges")) if ranged else [[]] * batch.num_rows
             texts = batch.column("text")
             for n, (doc_id, k) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("k").to_pylist())):
-                if doc_id is None or (of is _windows and not len(ranges[n])):
+                if doc_id is None or (of in (_same, _windows) and not len(ranges[n])):
                     continue
                 text = texts[n].as_py()
                 if len(text) < length:
@@ -170,23 +223,41 @@ def _strings(rows: DataFrame, of: Callable, length: int, either: bool) -> DataFr
                     kept.append((a, b, np.full(len(a), doc_id, "i8"), np.full(len(a), k, "i8"), at, end))
                     held += len(a)
                 if held >= HELD:
-                    yield _dealt(*map(np.concatenate, zip(*kept)), either)
+                    yield _dealt(*map(np.concatenate, zip(*kept)), of)
                     kept, held = [], 0
         if held:
-            yield _dealt(*map(np.concatenate, zip(*kept)), either)
+            yield _dealt(*map(np.concatenate, zip(*kept)), of)
+
+    return rows.mapInArrow(run, NAMED if of is _runs else ROW)
+
+
+def _found(strings: DataFrame, *more: str, bits: int = SHORT) -> DataFrame:
+    """(doc_id, k, range) of strings, the range (at, end) packed into one long."""
+    packed = f"shiftleft(shiftright(pos, {bits}), 32) + shiftright(pos, {bits}) + (pos & {(1 << bits) - 1})"
+    return strings.select("doc_id", "k", F.expr(packed).alias("range"), *more)
+
+
+def _earlier(strings: DataFrame) -> DataFrame:
+    """The strings whose key is met in an earlier document."""
+    low = F.min("doc_id").over(Window.partitionBy("a", "b"))
+    return strings.withColumn("low", low).where((F.col("verdict") == GONE) | (F.col("low") < F.col("doc_id")))
+
 
-    return rows.mapInArrow(run, ROW)
+def _shared(runs: DataFrame) -> DataFrame:
+    """The runs whose name is met in another document."""
+    w = Window.partitionBy("a")
+    seen = runs.withColumns({"low": F.min("doc_id").over(w), "high": F.max("doc_id").over(w)})
+    return seen.where((F.col("verdict") == COMPARE) | (F.col("low") < F.col("high")))
 
 
-def _met(strings: DataFrame, either: bool) -> DataFrame:
-    """(doc_id, k, range) of the strings whose key is met in an earlier document, or with ``either`` in any other."""
-    w = Window.partitionBy("a", "b")
-    seen = strings.withColumn("low", F.min("doc_id").over(w))
-    if either:
-        found = seen.withColumn("high", F.max("doc_id").over(w)).where("known OR low < high")
-    else:
-        found = seen.where("known OR low < doc_id")
-    return found.select("doc_id", "k", F.expr("shiftleft(CAST(at AS long), 32) + end").alias("range"))
+def _judged(runs: DataFrame) -> DataFrame:
+    """The runs that are ``gone``, met whole in an earlier document, and those to compare with others of their name."""
+    low = F.min("doc_id").over(Window.partitionBy("a", "b"))
+    gone = (F.col("verdict") == GONE) | (F.col("low") < F.col("doc_id"))
+    seen = runs.repartition("a").withColumn("low", low).withColumn("gone", gone)
+    left, w = F.when(~F.col("gone"), F.col("doc_id")), Window.partitionBy("a")
+    seen = seen.withColumns({"first": F.min(left).over(w), "last": F.max(left).over(w)})
+    return seen.where(F.col("gone") | (F.col("verdict") == COMPARE) | (F.col("first") < F.col("last")))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -218,10 +289,12 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "spans", "kept"])
 
-    chunks = stored(_met(_strings(rows, _chunks, length, False), False), "chunks")
-    runs = _met(_strings(ranged(chunks), _runs, length, True), True)
-    windows = _met(_strings(ranged(runs), _windows, length, False), False)
-    left = ranged(chunks.union(windows)).mapInArrow(cut, "doc_id long, spans array<struct<start: long, end: long>>, kept binary")
+    chunks = stored(_found(_earlier(_strings(rows, _chunks, length)), bits=LONG), "chunks")
+    runs = _found(_shared(_strings(ranged(chunks), _runs, length)))
+    judged = _found(_judged(_strings(ranged(runs), _same, length)), "gone")
+    windows = _found(_earlier(_strings(ranged(judged.where("NOT gone")), _windows, length)))
+    gone = chunks.union(judged.where("gone").drop("gone")).union(windows)
+    left = ranged(gone).mapInArrow(cut, "doc_id long, spans array<struct<start: long, end: long>>, kept binary")
     return digests(left)
 
 
