@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, mixing, ngram_jaccard, packing, quality_rules
-from lodestone.llm.common import stored, table
+from lodestone.llm.common import small, stored, table
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -24,6 +24,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
 
 
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents of the rows whose numbers are kept; few numbers are sent to the rows rather than rows to them."""
+    return rows.join(small(stored(kept, "kept")), "row", "left_semi").select("doc.*")
+
+
 def _first() -> Column:
     """Orders the rows of a group: the least doc_id, nulls last."""
     return F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("id"), F.col("row"))
@@ -38,16 +43,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each normalised text."""
     rows = _numbered(docs)
     kept = exact_dedup.groups(rows.select("row", "doc", F.col("doc.text").alias("text")), key=_first()).where("kept")
-    return rows.join(kept.select("doc_id.row"), "row", "left_semi").select("doc.*")
+    return _only(rows, kept.select("doc_id.row"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked ones; empty texts are linked with nothing and stay."""
     rows = _numbered(docs)
     groups = ngram_jaccard.join(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
-    named = rows.join(groups.select(F.col("doc_id").alias("row"), "component_id"), "row")
-    kept = named.groupBy("component_id").agg(F.min(_first()).alias("first")).select("first.row")
-    return rows.join(kept, "row", "left_semi").select("doc.*")
+    ids = rows.select("row", _first().alias("first"))
+    named = ids.join(groups.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    return _only(rows, named.groupBy("component_id").agg(F.min("first").alias("first")).select("first.row"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

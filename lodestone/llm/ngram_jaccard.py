@@ -193,6 +193,8 @@ class _Join:
         #: Every row with its class's least doc_id.
         self.members = stored(every.join(classes, "h", "left").select("doc_id", "n_shingles", "low", *BITS), "set-members")
         discard(every)
+        #: Size and bitmap of every class.
+        self.classes = stored(self.members.where("low IS NOT NULL").select(F.col("low").alias("id"), F.col("n_shingles").alias("n"), *BITS).dropDuplicates(["id"]), "set-classes")
         self.links: list[DataFrame] = []
         self.roots: DataFrame | None = None
         nodes = self.members.where("doc_id IS NOT NULL AND low IS NOT NULL")
@@ -223,9 +225,9 @@ class _Join:
         """Stored (key, c, id, n, bitmap) of the lists of two and more, by classes; c is the list's length."""
         index = postings(docs, keys_of, self.n)
         wide = stored(index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "lists")
-        nodes = self.members.select(F.col("doc_id").alias("id"), "low", F.col("n_shingles").alias("n"), *BITS).where("low IS NOT NULL")
-        met = index.join(small(wide), "key").join(nodes, "id").select("key", "c", F.col("low").alias("id"), "n", *BITS).distinct()
-        out = stored(met, "postings")
+        nodes = self.members.where("low IS NOT NULL").select(F.col("doc_id").alias("id"), "low")
+        met = index.join(small(wide), "key").join(nodes, "id").select("key", "c", F.col("low").alias("id")).distinct()
+        out = stored(met.join(self.classes, "id"), "postings")
         discard(wide)
         return out
 
@@ -272,11 +274,10 @@ class _Join:
     def star(self, index: DataFrame, texts: DataFrame, *orders) -> None:
         """Compares the sets of each live list with a few of them, the first by each of the orders."""
         theirs = [f"hub_{b}" for b in BITS]
-        node = F.struct("id", "id_root", "n", *BITS)
-        picks = F.array(*(F.min_by(node, order) for order in orders))
-        hubs = self.live(index, F.array_distinct(picks).alias("p")).select("key", F.explode("p").alias("p"))
-        renamed = [F.col(f"p.{b}").alias(t) for b, t in zip(BITS, theirs)]
-        hubs = hubs.select("key", F.col("p.id").alias("hub"), F.col("p.id_root").alias("hub_root"), F.col("p.n").alias("m"), *renamed)
+        picks = F.array(*(F.min_by("id", order) for order in orders))
+        hubs = self.live(index, F.array_distinct(picks).alias("p")).select("key", F.explode("p").alias("hub"))
+        centres = self.classes.select(F.col("id").alias("hub"), F.col("n").alias("m"), *(F.col(b).alias(t) for b, t in zip(BITS, theirs)))
+        hubs = self.rooted(hubs, "hub").join(centres, "hub")
         pairs = self.rooted(index, "id").join(hubs, "key").where((F.col("id_root") != F.col("hub_root")) & self.fits("n", "m", BITS, theirs))
         self.compare(pairs.select(F.col("id").alias("a"), "hub"), texts)
 
