@@ -4,9 +4,16 @@ broadcast or crossed; a crowded cell is split by the adaptive skew join."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.graph import components
+from ..functions.ranking import global_row_number
+from ..functions.storage import stored
+
 
 def _cell(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("long")
@@ -30,13 +37,67 @@ def pairs_within(first: DataFrame, second: DataFrame, radius: float, on: list[st
     return met.withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") <= radius)
 
 
-def generate_near_table(inputs: DataFrame, near: DataFrame, radius: float, closest_count: int = 1, same: bool = False) -> DataFrame:
-    """Per input point (fid, x, y) its nearest points within ``radius``, ``closest_count`` of them or with 0 all, by
-    distance and then near_fid; the angle is counter-clockwise from east. With ``same`` no point meets itself."""
+def _side(points: DataFrame, side: str) -> DataFrame:
+    """The points (fid, x, y) that have coordinates, as columns of one side of a join."""
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    return points.where(placed).select(F.col("fid").alias(f"{side}_id"), F.col("x").cast("double").alias(f"{side}_x"), F.col("y").cast("double").alias(f"{side}_y"))
+
+
+def within(points: DataFrame, radius: float) -> DataFrame:
+    """Ordered pairs of different points (fid, x, y) at most ``radius`` apart, as pairs_within names them."""
+    return pairs_within(_side(points, "a"), _side(points, "b"), radius).where("a_id <> b_id")
+
+
+def knn(points: DataFrame, k: int, targets: DataFrame | None = None, metric: str = "euclidean") -> DataFrame:
+    """The ``k`` nearest targets of every point, or without targets the nearest other points: a_id, a_x, a_y, b_id,
+    b_x, b_y, dist and rank, by distance and then b_id.
+
+    Points look within a radius at which the most crowded grid cell holds about k of them, and those that met fewer than k
+    again within twice that, so crowds are not paired at the radius that empty regions need. Only coincident points stay a
+    crowd at every radius. A round is one grid join; their number grows with the logarithm of the unevenness."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    same = targets is None
+    left, right = stored(_side(points, "a"), "knn-points"), stored(_side(points if same else targets, "b"), "knn-targets")
+    x, y = F.col("x"), F.col("y")
+    box = left.select("a_x", "a_y").union(right.select("b_x", "b_y")).toDF("x", "y").agg(F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
+    width, height, n = box[0] or 0.0, box[1] or 0.0, max(right.count(), 1)
+    reach = (math.hypot(width, height) if metric == "euclidean" else width + height) * (1 + 1e-9) or 1.0
+    cell = min(reach, max(math.sqrt(width * height * (k + 1) / n), reach * (k + 1) / n))
+    crowd = right.groupBy(_cell(F.col("b_x"), cell), _cell(F.col("b_y"), cell)).count().agg(F.max("count")).first()[0] or 1
+    radius, found = cell / math.sqrt(max(1.0, crowd / (k + 1))), []
+    order = Window.partitionBy("a_id").orderBy("dist", "b_id")
+    while True:
+        met = pairs_within(left, right, radius)
+        met = met.where("a_id <> b_id") if same else met
+        if metric == "manhattan":
+            met = met.withColumn("dist", F.abs(F.col("b_x") - F.col("a_x")) + F.abs(F.col("b_y") - F.col("a_y"))).where(F.col("dist") <= radius)
+        near = stored(met.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k), "knn-near")
+        if radius >= reach:
+            found.append(near)
+            break
+        done = near.where(F.col("rank") == k).select("a_id")
+        found.append(near.join(done, "a_id", "left_semi"))
+        left = stored(left.join(done, "a_id", "left_anti"), "knn-points")
+        if left.isEmpty():
+            break
+        radius = min(2 * radius, reach)
+    names = ["a_id", "a_x", "a_y", "b_id", "b_x", "b_y", "dist", "rank"]
+    return reduce(DataFrame.union, [df.select(*names) for df in found])
+
+
+def generate_near_table(inputs: DataFrame, near: DataFrame, radius: float | None = None, closest_count: int = 1, same: bool = False) -> DataFrame:
+    """Per input point (fid, x, y) its nearest points, within ``radius`` if that is given, ``closest_count`` of them or with 0
+    all, by distance and then near_fid; the angle is counter-clockwise from east. With ``same`` no point meets itself."""
+    if radius is None and not closest_count:
+        raise ValueError("give a radius or a closest_count")
     a = inputs.select(F.col("fid").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"))
     b = near.select(F.col("fid").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"))
-    met = pairs_within(a, b, radius)
-    met = met.where("a_id <> b_id") if same else met
+    if radius is None:
+        met = knn(inputs, closest_count, None if same else near)
+    else:
+        met = pairs_within(a, b, radius)
+        met = met.where("a_id <> b_id") if same else met
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy("dist", "b_id")).cast("long")
     out = met.select(
         F.col("a_id").alias("in_fid"), F.col("b_id").alias("near_fid"), F.col("dist").alias("near_dist"), rank.alias("near_rank"),
@@ -47,9 +108,11 @@ def generate_near_table(inputs: DataFrame, near: DataFrame, radius: float, close
 
 def generate_od_links(origins: DataFrame, destinations: DataFrame, radius: float | None = None, by_link: bool = False, num_nearest: int | None = None) -> DataFrame:
     """Links of origins (fid, x, y, link) to destinations by equal link ids, within ``radius``, or both; then the
-    ``num_nearest`` of each origin, ties in the order of the destinations. Missing ids never match."""
+    ``num_nearest`` of each origin, ties in the order of the destinations; with neither, the ``num_nearest`` or
+    the one nearest of all. Missing ids never match."""
     if radius is None and not by_link:
-        raise ValueError("give a radius, or link by ids")
+        near = knn(origins, num_nearest or 1, destinations)
+        return near.select(F.col("a_id").alias("origin_id"), F.col("b_id").alias("dest_id"), F.col("dist").alias("length"))
     more = ["link"] if by_link else []
     a = origins.select(F.col("fid").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), *more)
     b = destinations.select(F.col("fid").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *more)
@@ -108,3 +171,33 @@ def dissolve_route_events(df: DataFrame, route: str, start: str, end: str, field
     joined = [distinct(f) for f in fields] if mode == "concatenate" else []
     out = parts.agg(F.min("_lo").alias(start), F.max("_hi").alias(end), F.count("*").alias("EVENT_COUNT"), *joined)
     return out.select(route, start, end, *fields, "EVENT_COUNT")
+
+
+def group_by_proximity(points: DataFrame, distance: float, attribute: str | None = None, group_field: str = "GROUP_ID") -> DataFrame:
+    """Points (fid, x, y, ...) with the 0-based number of their group: those that steps of at most ``distance`` join, of equal
+    values of ``attribute`` if that is given. Groups are numbered by their least fid; a null attribute is in no other's group."""
+    on = [attribute] if attribute else []
+    more = [F.col(c) for c in on]
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    a = points.where(placed).select(F.col("fid").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), *more)
+    b = points.where(placed).select(F.col("fid").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *more)
+    roots = components(pairs_within(a, b, distance, on).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    if roots is None:
+        rooted = points.withColumn("_root", F.col("fid"))
+    else:
+        rooted = points.join(roots.toDF("fid", "_r"), "fid", "left").withColumn("_root", F.coalesce("_r", "fid")).drop("_r")
+    numbers = global_row_number(rooted.select("_root").distinct(), [F.col("_root")], group_field)
+    return rooted.join(numbers, "_root").withColumn(group_field, F.col(group_field) - 1).drop("_root")
+
+
+def summarize_nearby(points: DataFrame, summary: DataFrame, distances: list[float], fields: list[str] = ()) -> DataFrame:
+    """Per input point and distance the count of the summary points (fid, x, y, fields) within it, and the sum and mean of
+    their fields, a missing value counting as 0. Rings without points have zeros."""
+    b = summary.select(F.col("fid").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in fields))
+    reach = F.array(*(F.lit(float(d)) for d in distances))
+    met = pairs_within(_side(points, "a"), b, max(distances)).select("a_id", F.explode(F.filter(reach, lambda d: d >= F.col("dist"))).alias("distance"), *fields)
+    rings = met.groupBy("a_id", "distance").agg(F.count("*").alias("count"), *(F.sum(f).alias(f"sum_{f}") for f in fields))
+    every = points.select(F.col("fid").alias("a_id"), F.explode(reach).alias("distance")).join(rings, ["a_id", "distance"], "left")
+    sums = [F.coalesce(f"sum_{f}", F.lit(0.0)).alias(f"sum_{f}") for f in fields]
+    means = [F.coalesce(F.col(f"sum_{f}") / F.col("count"), F.lit(0.0)).alias(f"mean_{f}") for f in fields]
+    return every.select(F.col("a_id").cast("string").alias("input_id"), "distance", F.coalesce("count", F.lit(0)).cast("long").alias("count"), *sums, *means)

@@ -212,4 +212,4 @@ def collect_events(spark, sf_dir):
 
 
 # These register theirs as they are imported.
-from . import proximity, rasters  # noqa: E402, F401
+from . import geometry, neighbors, proximity, rasters, regression, surfaces, zones  # noqa: E402, F401
