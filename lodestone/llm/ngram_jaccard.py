@@ -205,11 +205,13 @@ class _Join:
         discard(wide)
         return out
 
-    def compare(self, pairs: DataFrame, texts: DataFrame) -> None:
+    def compare(self, pairs: DataFrame, docs: DataFrame) -> None:
         """Verifies pairs (a, hub) and takes in the links."""
         pairs = stored(pairs.distinct(), "pairs")
         if pairs.limit(1).count():
+            texts = self.texts(docs, pairs)
             self.merge(stored(_verified(pairs, texts, self.percent, self.n), "links"))
+            discard(texts)
         discard(pairs)
 
     def live(self, index: DataFrame, *more) -> DataFrame:
@@ -223,37 +225,43 @@ class _Join:
         shared = F.expr(f"CAST(ceil({self.percent} * ({n} + {m}) / {100 + self.percent}) AS long)")
         return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & (differ <= F.col(n) + F.col(m) - 2 * shared)
 
+    def counted(self, met: DataFrame) -> DataFrame:
+        """The pairs (a, hub) of ``met``, the keys k they meet in, and ``need``, how many similar sets share at least."""
+
+        def behind(n):
+            return f"greatest(0, CAST(ceil({self.percent} * {n} / 100) AS long) - 1 - {EXTRA} * {n} DIV 100)"
+
+        need = F.expr(f"CAST(ceil({self.percent} * (n + m) / {100 + self.percent}) AS long) - greatest({behind('n')}, {behind('m')})")
+        return met.groupBy("a", "hub", "n", "m").agg(F.count("*").alias("k")).withColumn("need", need)
+
     def enough(self, met: DataFrame, long: DataFrame) -> DataFrame:
         """The pairs (a, hub) of ``met`` (key, a, hub, n, m) that share as many keys as similar sets must; keys of
         the long lists, which ``met`` lacks, count as shared as far as both sets have such."""
-        pairs = met.groupBy("a", "hub", "n", "m").agg(F.count("*").alias("k"))
+        pairs = self.counted(met)
         more = long.groupBy("id").agg(F.count("*").alias("f"))
         pairs = pairs.join(more.toDF("a", "fa"), "a", "left").join(more.toDF("hub", "fb"), "hub", "left")
         shared = F.col("k") + F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0)))
+        return pairs.where(shared >= F.col("need")).select("a", "hub")
 
-        def behind(n):
-            return f"greatest(0, CAST(ceil({self.percent} * {n} / 100) AS long) - 1 - {EXTRA} * {n} DIV 100)"
-
-        need = F.expr(f"CAST(ceil({self.percent} * (n + m) / {100 + self.percent}) AS long) - greatest({behind('n')}, {behind('m')})")
-        return pairs.where(shared >= need).select("a", "hub")
-
-    def texts(self, docs: DataFrame, index: DataFrame) -> DataFrame:
-        """The stored texts of the nodes in live lists, (id, text)."""
-        wanted = stored(index.join(self.live(index), "key").select("id").distinct(), "wanted")
+    def texts(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The stored texts of the nodes in pairs, (id, text)."""
+        wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("hub")).distinct(), "wanted")
         found = docs.join(small(wanted), docs["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
         out = stored(found, "texts")
         discard(wanted)
         return out
 
-    def star(self, index: DataFrame, texts: DataFrame, *orders) -> None:
-        """Compares the sets of each live list with a few of them, the first by each of the orders."""
+    def star(self, index: DataFrame, docs: DataFrame, *orders, single: bool = False) -> None:
+        """Compares the sets of each live list with a few of them, the first by each of the orders. Of lists of single
+        tokens, pairs that meet as hub and spoke in less than half the keys that similar sets share wait for the later steps."""
         theirs = [f"hub_{b}" for b in BITS]
         picks = F.array(*(F.min_by("id", order) for order in orders))
         hubs = self.live(index, F.array_distinct(picks).alias("p")).select("key", F.explode("p").alias("hub"))
         centres = self.classes.select(F.col("id").alias("hub"), F.col("n").alias("m"), *(F.col(b).alias(t) for b, t in zip(BITS, theirs)))
         hubs = self.rooted(hubs, "hub").join(centres, "hub")
         pairs = self.rooted(index, "id").join(hubs, "key").where((F.col("id_root") != F.col("hub_root")) & self.fits("n", "m", BITS, theirs))
-        self.compare(pairs.select(F.col("id").alias("a"), "hub"), texts)
+        pairs = pairs.withColumnRenamed("id", "a")
+        self.compare((self.counted(pairs).where(2 * F.col("k") >= F.col("need")) if single else pairs).select("a", "hub"), docs)
 
     def across(self, index: DataFrame) -> DataFrame:
         """(key, a, hub, n, m) of the pairs of different components in each list."""
@@ -268,14 +276,13 @@ class _Join:
         which they meet in tokens of frequent classes alone."""
         percent = self.percent
         index = self.lists(self.docs, lambda tokens: prefix_keys(tokens, percent))
-        texts = self.texts(self.docs, index)
-        self.star(index, texts, F.col("id"), -F.col("id"), F.xxhash64("id"))
+        self.star(index, self.docs, F.col("id"), -F.col("id"), F.xxhash64("id"), single=True)
         short, long = index.where(F.col("c") <= self.frequent), index.where(F.col("c") > self.frequent)
-        self.compare(self.enough(self.across(short), long), texts)
+        self.compare(self.enough(self.across(short), long), self.docs)
         # Similar sets share at least so many keys; those of long lists must make them up.
         live = long.join(self.live(long).select("key"), "key").groupBy("id", "n").agg(F.count("*").alias("f"))
         out = stored(live.where(F.col("f") >= F.expr(f"{EXTRA} * n DIV 100")).select("id"), "extended")
-        discard(index, texts)
+        discard(index)
         return out
 
     def marked(self, docs: DataFrame) -> np.ndarray:
@@ -295,12 +302,11 @@ class _Join:
         docs = stored(docs, "extended-texts")
         marked, percent = docs.sparkSession.sparkContext.broadcast(self.marked(docs)), self.percent
         index = self.lists(docs, lambda tokens: combined_keys(tokens, percent, marked.value))
-        texts = self.texts(docs, index)
-        self.star(index, texts, *(F.xxhash64("id", F.lit(k)) for k in range(HUBS)))
+        self.star(index, docs, *(F.xxhash64("id", F.lit(k)) for k in range(HUBS)))
         # Now any component of a list may give the next ones, however few nodes it has.
-        self.star(index, texts, *(F.struct(F.xxhash64("id_root", F.lit(k)), F.xxhash64("id", F.lit(k))) for k in range(HUBS)))
-        self.compare(self.across(index).select("a", "hub"), texts)
-        discard(index, texts, docs)
+        self.star(index, docs, *(F.struct(F.xxhash64("id_root", F.lit(k)), F.xxhash64("id", F.lit(k))) for k in range(HUBS)))
+        self.compare(self.across(index).select("a", "hub"), docs)
+        discard(index, docs)
 
     def run(self) -> _Join:
         extended = self.singly()
