@@ -1,11 +1,12 @@
 """What the operators leave on disk and send between tasks."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
 from lodestone.functions.storage import CLEANUP, stored
-from lodestone.llm import ngram_jaccard
+from lodestone.llm import ngram_jaccard, substring_dedup
 
 
 def shuffles(spark):
@@ -36,3 +37,34 @@ def test_jaccard_verifies_few_pairs_of_sets_with_a_common_passage(spark, monkeyp
     assert got == {i: i - 80 if i >= 80 else i for i in range(90)}
     # Ten pairs are similar.
     assert sum(n for n, _ in sent) <= 30 and sum(n for _, n in sent) <= 40, sent
+
+
+def test_substring_dedup_compares_few_windows_of_short_shared_passages(spark, monkeypatch):
+    rng = random.Random(6)
+    phrases = ["".join(rng.choices("abcdefgh ", k=30)) for _ in range(40)]
+    rows = ["".join(rng.choice(phrases) + "".join(rng.choices("stuvwxyz", k=12)) for _ in range(40)) for _ in range(40)]
+    rows += [rows[3][100:400] + rows[9][:90], rows[5][7:77] + "é" + rows[5][500:560] + rows[41 % 7][3:52], None, ""]
+    windows, strings = [], substring_dedup._strings
+
+    def counted(df, of, length):
+        out = strings(df, of, length)
+        if of is substring_dedup._windows:
+            windows.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "_strings", counted)
+    out = substring_dedup.dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    # The steps' shuffles are gone by now: what is left reads the texts once.
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    seen, want = set(), {}
+    for i, t in enumerate(rows):
+        b = (t or "").encode()
+        gone, grams = [False] * len(b), [b[k : k + 50] for k in range(len(b) - 49)]
+        for k, g in enumerate(grams):
+            if g in seen:
+                gone[k : k + 50] = [True] * 50
+        seen |= set(grams)
+        want[i] = (sum(gone), hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest())
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in out.collect()} == want and sum(n for n, _ in want.values()) > 400
+    # Of 65,000 windows; with names by grams of 18 bytes alone 24,788 were compared.
+    assert windows[0] < 3000, windows
