@@ -12,7 +12,7 @@ stage. Empty tables give empty tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, mixing, ngram_jaccard, packing, quality_rules
@@ -20,7 +20,15 @@ from lodestone.llm.common import small, stored, table
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc): the rows of docs as structs, with numbers that hold as they are stored."""
+    """(row, doc): the rows of docs as structs, with numbers that hold: of files and of rows in them, if docs is read
+    from files, so that the rows need not be stored once more; else as they are stored."""
+    read = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if read and docs.inputFiles() and "_metadata" not in docs.columns:
+        path, at = F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at")
+        # One row per file: the window over all of them holds the list of files, not documents.
+        files = stored(docs.select(path).distinct().select("path", F.row_number().over(Window.orderBy("path")).alias("file")), "files")
+        rows = docs.select(path, at, F.struct("*").alias("doc")).join(small(files), "path")
+        return rows.select((F.shiftleft(F.col("file").cast("long"), 40) + F.col("at")).alias("row"), "doc")
     return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
 
 
@@ -36,7 +44,7 @@ def _first() -> Column:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' current policy keeps."""
-    return quality_rules.apply_policy(quality_rules.ledger(docs, keep=True)).where("kept").select("row.*")
+    return quality_rules.apply_policy(quality_rules.judged(docs, keep=True)).where("kept").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,13 +73,18 @@ def measure(docs: DataFrame, keep: bool = False) -> DataFrame:
     ).select(*carried, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def ledger(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """The stored measurements and ``fail_bits``: bit k is set where rule k fails."""
+def judged(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """The measurements and ``fail_bits``: bit k is set where rule k fails."""
     bits = [F.when(F.expr(c), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, c in enumerate(RULES.values())]
     out = bits[0]
     for b in bits[1:]:
         out = out.bitwiseOR(b)
-    return stored(measure(docs, keep).withColumn("fail_bits", out), "ledger")
+    return measure(docs, keep).withColumn("fail_bits", out)
+
+
+def ledger(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """The stored ledger."""
+    return stored(judged(docs, keep), "ledger")
 
 
 def apply_policy(rows: DataFrame, version: str = "v2") -> DataFrame:

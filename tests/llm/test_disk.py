@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.storage import CLEANUP, stored
+import corpus_pipeline as P
+
+from lodestone.functions.storage import CLEANUP, shared_dir, stored
 from lodestone.llm import ngram_jaccard, substring_dedup
 
 
@@ -68,3 +71,28 @@ def test_substring_dedup_compares_few_windows_of_short_shared_passages(spark, mo
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in out.collect()} == want and sum(n for n, _ in want.values()) > 400
     # Of 65,000 windows; with names by grams of 18 bytes alone 24,788 were compared.
     assert windows[0] < 3000, windows
+
+
+def test_stages_keep_no_copies_of_the_documents(spark):
+    rng = random.Random(4)
+    base = [" ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(900)) for _ in range(60)]
+    rows = list(enumerate([*base, *base[:5], *(t + " end" for t in base[5:10]), "few", None])) + [(None, base[20]), (7, base[21] + "  ")]
+    rows = [(i, t, "en", "ab"[k % 2], len(t or ""), 1, "x") for k, (i, t) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row long, path string")
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+
+    def size(at):
+        return sum(f.stat().st_size for f in at.rglob("*.parquet"))
+
+    docs = stored(frame.repartition(3), "input")
+    before, own = size(folder), 0
+    whole = size(Path(docs.stored_at.removeprefix("file://")))
+    for name, stage in P.STAGES[:-1]:
+        columns, docs = docs.columns, stored(stage(spark, docs, ""), name)
+        assert docs.columns == columns
+        own += size(Path(docs.stored_at.removeprefix("file://")))
+        if name == "ngram_jaccard":
+            # 20 and 21 were copied under no doc_id and under 7, which is the lesser.
+            assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted([*range(21), *range(22, 60), 7])
+    assert docs.count() >= 60
+    assert size(folder) - before - own < whole / 2
