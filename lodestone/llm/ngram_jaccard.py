@@ -14,9 +14,11 @@ share a combination. Thresholds are the same at every size.
 Each set has a bitmap of the parity of its tokens per slot: sets that differ in d tokens differ in at most d
 bits, which rules out most candidates beforehand. The others are verified on whole sets, made again from the whole texts. A list first compares its
 sets with a few of them, the least, the greatest and some by hash, which links groups of near copies without
-pairing them all; lists whose sets are by then of one component have no more to tell, and the rest compare
-sets of different components only. Every link between components is thus verified, and components
-are exact; ``links`` holds the verified links that joined them, not all links within a component.
+pairing them all; lists whose sets are by then of one component have no more to tell. Sets of lists of combinations
+that still hold several, which are mostly near copies a little too far from the others, are indexed once more: by
+the sizes that a partner may have, since of sets of like size each may lack only half as many tokens as of sets of any,
+and with the rarer of the frequent tokens first. Only sets of different components are then compared.
+Every link between components is thus verified, and components are exact; ``links`` holds the verified links that joined them, not all links within a component.
 Spokes of a hub are dealt in blocks, each with a copy of the hub's text, so no hub is one task.
 
 Sets of equal tokens form a class, of which one row is a candidate. Nulls, blanks: empty sets, linked with
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.graph import components
@@ -48,11 +50,13 @@ FREQUENT = 50
 EXTRA = 10
 #: Documents compared with one copy of their hub.
 SPOKES = 64
-#: Bits of the bitmap that marks frequent tokens, 512 kB whatever the input; tokens that share a marked
-#: bit are of the frequent class too, which costs time but no result.
+#: Slots of the table of frequent tokens' levels, 4 MB whatever the input; tokens that share the slot
+#: of a frequent one are of the frequent class too, which costs time but no result.
 SLOTS = 1 << 22
 #: Longs of a set's bitmap of parities.
 BITS = ("b0", "b1", "b2", "b3")
+#: Those of the sets that are indexed by sizes of partners, whose differences a short bitmap shows too few of.
+WIDE = tuple(f"b{k}" for k in range(16))
 #: Sets that each list of combinations is compared with, twice, before the rest is compared.
 HUBS = 8
 #: Digests a task remembers to index each class once; it then starts anew.
@@ -63,9 +67,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
 
 
-def shingles(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+def shingles(docs: DataFrame, n: int = SHINGLE, names: tuple[str, ...] = BITS) -> DataFrame:
     """doc_id, n_shingles, h, a digest of the set (null if it is empty), and its bitmap, of every row."""
-    slots = 64 * len(BITS)
+    slots = 64 * len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,10 +78,10 @@ def shingles(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             marks = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary())
             odd = np.array([np.bincount(x.view("u8") % np.uint64(slots), minlength=slots) & 1 for x in sets], "u1").reshape(len(sets), slots)
             bits = np.packbits(odd, axis=1).view("i8")
-            columns = [batch.column("doc_id"), sizes, marks, *(pa.array(bits[:, k]) for k in range(len(BITS)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h", *BITS])
+            columns = [batch.column("doc_id"), sizes, marks, *(pa.array(bits[:, k]) for k in range(len(names)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h", *names])
 
-    return _texts(docs).mapInArrow(run, f"doc_id long, n_shingles long, h binary, {', '.join(f'{b} long' for b in BITS)}")
+    return _texts(docs).mapInArrow(run, f"doc_id long, n_shingles long, h binary, {', '.join(f'{b} long' for b in names)}")
 
 
 def prefix_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
@@ -86,10 +90,10 @@ def prefix_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     return tokens[: n - -(-percent * n // 100) + 1 + EXTRA * n // 100]
 
 
-def combined_keys(tokens: np.ndarray, percent: int, marked: np.ndarray) -> np.ndarray:
+def combined_keys(tokens: np.ndarray, percent: int, levels: np.ndarray) -> np.ndarray:
     """Of a set's prefix with rare tokens first, these and the neighbouring pairs of frequent ones."""
     n = len(tokens)
-    common = marked[tokens.view("u8") % np.uint64(len(marked))]
+    common = levels[tokens.view("u8") % np.uint64(len(levels))] > 0
     rare, prefix = tokens[~common], n - -(-percent * n // 100) + 1
     if len(rare) >= prefix:
         return rare[:prefix]
@@ -97,6 +101,45 @@ def combined_keys(tokens: np.ndarray, percent: int, marked: np.ndarray) -> np.nd
     return np.concatenate([rare, mixed(head[:-1] * np.uint64(WORD_BASE) + head[1:]).view("i8")])
 
 
+def size_class(n: int) -> int:
+    """The class of a set's size: of sizes that agree in their five leading bits."""
+    shift = max(0, n.bit_length() - 5)
+    return 32 * shift + (n >> shift)
+
+
+def size_class_of(n: str) -> Column:
+    """``size_class`` of a column."""
+    shift = f"CAST(greatest(0, length(bin({n})) - 5) AS int)"
+    return F.expr(f"32 * {shift} + shiftright({n}, {shift})")
+
+
+def sized_keys(tokens: np.ndarray, percent: int, levels: np.ndarray, present: list[int]) -> np.ndarray:
+    """The keys of a set for partners of each class of sizes in ``present``: as ``combined_keys``, with prefixes for these
+    sizes alone and frequent tokens in the order of their levels. Keys for partners of other classes than its own are odd."""
+    n, own, out = len(tokens), size_class(len(tokens)), [np.zeros(0, "i8")]
+    level = levels[tokens.view("u8") % np.uint64(len(levels))]
+    ordered = tokens[np.argsort(level, kind="stable")].view("u8")
+    rare = int(np.count_nonzero(level == 0))
+    for other in present:
+        shift, lead = other >> 5, other & 31
+        least, most = max(lead << shift, -(-percent * n // 100)), min((lead + 1 << shift) - 1, 100 * n // percent)
+        if least > most:
+            continue
+        # Of similar sets, the one of n tokens has so many of its own before the first shared one, at most.
+        prefix = n - -(-percent * (n + least) // (100 + percent)) + 1
+        if rare >= prefix:
+            keys = ordered[:prefix]
+        else:
+            # Neighbours are parted by tokens of either set, and those of this one take places as well.
+            places = max(2 * n + m - -(-3 * percent * (n + m) // (100 + percent)) for m in (least, most))
+            head = ordered[rare : rare + places - 2 * rare + 2]
+            keys = np.concatenate([ordered[:rare], mixed(head[:-1] * np.uint64(WORD_BASE) + head[1:])])
+        tag = np.uint64(min(own, other) << 32 | max(own, other))
+        keys = mixed(keys ^ mixed(np.array([tag])))
+        out.append((keys & ~np.uint64(1) | np.uint64(own != other)).view("i8"))
+    return np.concatenate(out)
+
+
 def postings(docs: DataFrame, keys_of, n: int = SHINGLE) -> DataFrame:
     """(key, id): the keys of every set that its task has not met before."""
 
@@ -195,13 +238,13 @@ class _Join:
             return df.withColumn(f"{c}_root", F.col(c))
         return df.join(self.roots.toDF(c, "_top"), c, "left").withColumn(f"{c}_root", F.coalesce("_top", c)).drop("_top")
 
-    def lists(self, docs: DataFrame, keys_of) -> DataFrame:
+    def lists(self, docs: DataFrame, keys_of, classes: DataFrame | None = None) -> DataFrame:
         """Stored (key, c, id, n, bitmap) of the lists of two and more, by classes; c is the list's length."""
         index = postings(docs, keys_of, self.n)
         wide = stored(index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "lists")
         nodes = self.members.where("low IS NOT NULL").select(F.col("doc_id").alias("id"), "low")
         met = index.join(small(wide), "key").join(nodes, "id").select("key", "c", F.col("low").alias("id")).distinct()
-        out = stored(met.join(self.classes, "id"), "postings")
+        out = stored(met.join(self.classes if classes is None else classes, "id"), "postings")
         discard(wide)
         return out
 
@@ -263,13 +306,15 @@ class _Join:
         pairs = pairs.withColumnRenamed("id", "a")
         self.compare((self.counted(pairs).where(2 * F.col("k") >= F.col("need")) if single else pairs).select("a", "hub"), docs)
 
-    def across(self, index: DataFrame) -> DataFrame:
-        """(key, a, hub, n, m) of the pairs of different components in each list."""
+    def across(self, index: DataFrame, sized: bool = False) -> DataFrame:
+        """(key, a, hub, n, m) of the pairs of different components in each list; of ``sized`` keys, those that the key is for."""
         rows = self.rooted(index, "id").join(self.live(index), "key")
-        theirs = [f"hub_{b}" for b in BITS]
-        x = rows.select("key", F.col("id").alias("a"), "n", F.col("id_root").alias("ra"), *BITS)
-        y = rows.select("key", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("id_root").alias("rb"), *(F.col(b).alias(t) for b, t in zip(BITS, theirs)))
-        return x.join(y, "key").where((F.col("hub") < F.col("a")) & (F.col("ra") != F.col("rb")) & self.fits("n", "m", BITS, theirs))
+        bits = WIDE if sized else BITS
+        theirs = [f"hub_{b}" for b in bits]
+        x = rows.select("key", F.col("id").alias("a"), "n", F.col("id_root").alias("ra"), *bits)
+        y = rows.select("key", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("id_root").alias("rb"), *(F.col(b).alias(t) for b, t in zip(bits, theirs)))
+        pairs = x.join(y, "key").where((F.col("hub") < F.col("a")) & (F.col("ra") != F.col("rb")) & self.fits("n", "m", bits, theirs))
+        return pairs.where((F.col("key") % 2 != 0) == (size_class_of("n") != size_class_of("m"))) if sized else pairs
 
     def singly(self) -> DataFrame:
         """Compares the sets that meet in single tokens. Returns the nodes (id) that may have partners
@@ -285,28 +330,39 @@ class _Join:
         discard(index)
         return out
 
-    def marked(self, docs: DataFrame) -> np.ndarray:
-        """The bits of the tokens that more than ``frequent`` of the documents have."""
+    def levels(self, docs: DataFrame) -> np.ndarray:
+        """The levels of the tokens' slots: 1 if more than ``frequent`` of the documents have one, one more for each doubling."""
         counts = postings(docs, lambda tokens: tokens, self.n).groupBy("key").count().where(F.col("count") > self.frequent)
         slot = F.pmod("key", F.lit(SLOTS))
         size = 8 * 4096  # of a bitmap that Spark builds
-        maps = counts.groupBy((slot / size).cast("int").alias("at")).agg(F.bitmap_construct_agg(slot % size).alias("bits")).collect()
-        out = np.zeros(SLOTS, bool)
+        level = F.length(F.bin(F.expr(f"(count - 1) DIV {max(1, self.frequent)}"))).alias("level")
+        maps = counts.groupBy((slot / size).cast("int").alias("at"), level).agg(F.bitmap_construct_agg(slot % size).alias("bits")).collect()
+        out = np.zeros(SLOTS, "u1")
         for row in maps:
-            out[row["at"] * size : (row["at"] + 1) * size] = np.unpackbits(np.frombuffer(row["bits"], "u1"), bitorder="little")
+            part = out[row["at"] * size : (row["at"] + 1) * size]
+            np.maximum(part, row["level"] * np.unpackbits(np.frombuffer(row["bits"], "u1"), bitorder="little"), out=part)
         return out
 
     def combined(self, extended: DataFrame) -> None:
         """Compares the given nodes by rare tokens and by combinations of frequent ones."""
         docs = self.docs.join(small(extended), self.docs["doc_id"] == extended["id"], "left_semi")
         docs = stored(docs, "extended-texts")
-        marked, percent = docs.sparkSession.sparkContext.broadcast(self.marked(docs)), self.percent
-        index = self.lists(docs, lambda tokens: combined_keys(tokens, percent, marked.value))
+        levels, percent = docs.sparkSession.sparkContext.broadcast(self.levels(docs)), self.percent
+        index = self.lists(docs, lambda tokens: combined_keys(tokens, percent, levels.value))
         self.star(index, docs, *(F.xxhash64("id", F.lit(k)) for k in range(HUBS)))
         # Now any component of a list may give the next ones, however few nodes it has.
         self.star(index, docs, *(F.struct(F.xxhash64("id_root", F.lit(k)), F.xxhash64("id", F.lit(k))) for k in range(HUBS)))
-        self.compare(self.across(index).select("a", "hub"), docs)
-        discard(index, docs)
+        left = stored(index.join(self.live(index), "key").select("id", "n").distinct(), "left")
+        # A few dozen classes for each power of two.
+        present = sorted(r["c"] for r in left.select(size_class_of("n").alias("c")).distinct().collect())
+        if present:
+            rest = docs.join(small(left), docs["doc_id"] == left["id"], "left_semi")
+            wide = shingles(rest, self.n, WIDE).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *WIDE)
+            wide = stored(wide.dropDuplicates(["id"]), "wide")
+            sized = self.lists(rest, lambda tokens: sized_keys(tokens, percent, levels.value, present), wide)
+            self.compare(self.across(sized, sized=True).select("a", "hub"), docs)
+            discard(sized, wide)
+        discard(index, left, docs)
 
     def run(self) -> _Join:
         extended = self.singly()
