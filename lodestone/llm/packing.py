@@ -1,7 +1,7 @@
 """Packing documents into windows of at most 4096 tokens, best-fit decreasing.
 
-Every whole text is tokenised once, each distinct word once per Python worker where the vocabulary drops
-white space and so takes words one by one; overlong documents are first cut into full windows, each a
+Every whole text is tokenised once, each distinct word, or part of one, once per Python worker while it is remembered
+where the vocabulary drops white space and so takes words one by one; overlong documents are first cut into full windows, each a
 sequence of its own, and the remainders are packed by a segment tree over remaining capacities
 that finds the tightest open window. Packing runs in groups of a set number of remainders
 dealt by hash, so a task's memory is fixed and no group follows a key of the data; a group's
@@ -13,6 +13,9 @@ read. A very long text is encoded whole by one task and cut into as many windows
 
 from __future__ import annotations
 
+import codecs
+import json
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,21 +23,51 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, whole
 
 WINDOW = 4096
 END = 2
 #: Remainders packed together by one task.
 GROUP = 50_000
-#: Characters tokenised at a time.
-CHUNK = 1 << 20
-#: Words whose ids a task remembers before it starts anew.
+#: Bytes and texts tokenised at a time.
+CHUNK, TEXTS = 1 << 23, 2048
+#: Words whose ids a task remembers before it keeps only those at hand; of parts of words half as many.
 WORDS = 1_000_000
-#: Between words encoded as one text, and how many of them.
-MARK, JOINED = "\x1d", 2048
+#: Parts of words encoded as one text.
+JOINED = 256
+#: What a piece holds.
+PIECE = pa.schema({"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64()})
+#: Between the ids of two words; no four bytes of ids equal it, since their highest ones are 0.
+BORDER = b"\xff" * 4
+#: How the default vocabulary cuts texts, beside its byte pairs.
+CUTS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Finds what keeps a word from being plain: characters beyond the letters of Latin-1 and visible ASCII, and the
+#: start of special tokens. Plain characters are their own NFC and have lower-case forms of one character.
+ODD = re.compile(r"[^!-~À-ÖØ-öø-ÿ]|<\|").search
+#: The same parts of lower-cased plain words, and the line feed between words.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+|\n")
 
 
 def default_vocabulary() -> str:
@@ -47,46 +80,90 @@ class Encoder:
     """Whole texts to their ids, little-endian 32-bit.
 
     ``word_wise`` holds for vocabularies that drop white space and join nothing across it: the ids
-    of a text are then those of its words in turn. Others encode each text as one string."""
+    of a text are then those of its words in turn. Others encode each text as one string. Words of plain
+    characters are cut into parts as the tokenizer cuts them, where it cuts as the default one does, and only parts
+    not met before are encoded."""
 
     def __init__(self, vocabulary: str, word_wise: bool, words: int = WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.word_wise, self.words, self.known = word_wise, words, {}
+        self.word_wise, self.words, self.known, self.parts = word_wise, words, {}, {}
+        spec = json.loads(self.tokenizer.to_str())
+        self.cuts = all(spec[k] == v for k, v in CUTS.items()) and spec["model"].get("end_of_word_suffix") == "</w>"
+        if self.cuts:
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+            # Parts as the model takes them: their bytes stand for characters already, only spaces part them.
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+            rest = [b for b in range(256) if b not in visible]
+            self.level = "".join(" " if b == 0x20 else chr(b if b in visible else 256 + rest.index(b)) for b in range(256))
 
     def _ids(self, strings: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
 
-    def _word_ids(self, strings: list[str]) -> list[bytes]:
-        """The ids of each word: many are encoded as one text, with a mark between them whose id no
-        other character gives. Words that hold the mark are encoded alone."""
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        plain = [w for w in strings if MARK not in w]
-        if len(mark) != 1 or len(plain) < len(strings):
-            found = dict(zip(rest := [w for w in strings if len(mark) != 1 or MARK in w], self._ids(rest)))
-            plain = [w for w in plain if w not in found]
-        else:
-            found = {}
-        for a in range(0, len(plain), JOINED):
-            part = plain[a : a + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = [-1, *np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
+    def _part_ids(self, strings: list[str]) -> list[bytes]:
+        """The ids of parts of plain words: many are encoded as one text, and each ends with a token that ends a word."""
+        out = []
+        for a in range(0, len(strings), JOINED):
+            part = strings[a : a + JOINED]
+            level = codecs.charmap_decode(" ".join(part).encode(), "strict", self.level)[0]
+            ids = np.array(self.model.encode_batch_fast([level], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
             data = ids.tobytes()
-            found.update((w, data[4 * x + 4 : 4 * y]) for w, x, y in zip(part, cuts, cuts[1:]))
+            out += [data[4 * x : 4 * y] for x, y in zip(cuts, cuts[1:])] if len(cuts) == len(part) + 1 else self._ids(part)
+        return out
+
+    def _plain_ids(self, strings: list[str]) -> list[bytes]:
+        """The ids of words of plain characters, through those of their parts."""
+        cut = PARTS.findall("\n".join(strings).lower())
+        seen = set(cut)
+        new = list(seen.difference(self.parts, "\n"))
+        if len(self.parts) + len(new) > self.words // 2:
+            self.parts = {p: self.parts[p] for p in seen if p in self.parts}
+        self.parts |= zip(new, self._part_ids(new))
+        self.parts["\n"] = BORDER
+        return b"".join(map(self.parts.__getitem__, cut)).split(BORDER)
+
+    def _word_ids(self, strings: list[str]) -> list[bytes]:
+        odd = [w for w in strings if not self.cuts or ODD(w)]
+        if not odd:
+            return self._plain_ids(strings)
+        found = dict(zip(odd, self._ids(odd)))
+        plain = [w for w in strings if w not in found]
+        found |= zip(plain, self._plain_ids(plain) if plain else [])
         return [found[w] for w in strings]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
         if not self.word_wise:
-            return self._ids(texts)
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        seen = set(chain.from_iterable(split))
-        new = list(seen.difference(self.known))
+            return self._ids(texts.to_pylist() if isinstance(texts, pa.Array) else texts)
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        numbered = split.values.dictionary_encode()
+        seen = _strings(numbered.dictionary)
+        ids = list(map(self.known.get, seen))
+        new = [w for w, x in zip(seen, ids) if x is None]
         if len(self.known) + len(new) > self.words:
-            self.known, new = {}, list(seen)
-        self.known.update(zip(new, self._word_ids(new)))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+            self.known = {w: x for w, x in zip(seen, ids) if x is not None}
+        if new:
+            self.known |= zip(new, self._word_ids(new))
+            ids = list(map(self.known.__getitem__, seen))
+        ends = np.cumsum(np.fromiter(chain([0], map(len, ids)), "i8", len(ids) + 1))
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(ids))])
+        _, ends, data = ids.take(numbered.indices).buffers()
+        at = np.frombuffer(ends, "i8")[split.offsets.to_numpy()].tolist()
+        data = memoryview(data) if data else b""
+        return [bytes(data[x:y]) for x, y in zip(at, at[1:])]
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """The words, which hold no line feed, faster than by to_pylist."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar("\n", words.type))[0].as_py().split("\n")
 
 
 @lru_cache(maxsize=1)
@@ -152,33 +229,30 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
     word_wise = vocabulary is None if word_wise is None else word_wise
     vocabulary = vocabulary or default_vocabulary()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, end = encoder(vocabulary, word_wise), struct.pack("<I", END)
 
-        def encoded(rows):
+        def encoded(rows: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for (doc_id, _), ids in zip(rows, encode([r[1] for r in rows])):
+            for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encode(rows.column("text"))):
                 ids += end
                 for s in range(0, len(ids), 4 * window):
                     part = ids[s : s + 4 * window]
                     out.append((doc_id, s // 4, len(part) // 4, part, len(ids) // 4))
-            return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens"]).astype({"doc_id": "Int64"})
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), PIECE.types)], schema=PIECE)
 
         for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                rows.append((None if pd.isna(doc_id) else int(doc_id), text or ""))
-                held += len(rows[-1][1])
-                if held >= CHUNK or len(rows) >= 256:
-                    yield encoded(rows)
-                    rows, held = [], 0
-            if rows:
-                yield encoded(rows)
-
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
+            at, held = 0, 0
+            for n, size in enumerate(pc.binary_length(batch.column("text")).to_pylist(), 1):
+                held += size
+                if held >= CHUNK or n - at >= TEXTS or n == batch.num_rows:
+                    yield encoded(batch.slice(at, n - at))
+                    at, held = n, 0
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(
         cut, "doc_id long, start long, length long, ids binary, doc_tokens long"
     )
 

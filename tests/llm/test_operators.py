@@ -247,6 +247,29 @@ def test_word_wise_ids_equal_those_of_whole_texts():
     assert got == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_packing_encodes_each_part_of_words_once():
+    import random
+    import struct
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    draw = random.Random(2)
+    stems = ["tree", "Maß", "été", "ÀÿØ", "it's", "we'll", "don't", "'S", "12", "a1b2", "°µ²", "<|", "</w>", "``~", "@[", "ij"]
+    marks = ["", ".", ",'", "'t", "!?", "×", "÷", "(", "|>"]
+    texts = [draw.choice([" ", "\n", " \t"]).join("".join(draw.choices(stems + marks, k=3)) for _ in range(6)) for _ in range(2000)]
+    texts += ["".join(draw.choices([chr(c) for c in range(32, 256)], k=30)) for _ in range(2000)]
+    for words in (packing.WORDS, 300):
+        encode = packing.Encoder(packing.default_vocabulary(), True, words=words)
+        got = [x for a in range(0, len(texts), 100) for x in encode(texts[a : a + 100])]
+        assert got == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    encode, made = packing.Encoder(packing.default_vocabulary(), True), []
+    encode._part_ids = lambda parts, ids=encode._part_ids: made.extend(parts) or ids(parts)
+    for a in ("tree", "Tree", "TREE"):
+        encode([" ".join(a + b for b in ("", ".", ",", "!", "s")), f"{a}\n{a}."])
+    assert sorted(made) == ["!", ",", ".", "tree", "trees"]
+
+
 def _bare(*lines):
     return "<body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"
 
