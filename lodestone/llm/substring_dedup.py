@@ -41,7 +41,7 @@ LENGTH = 50
 GRAM = 18
 #: Bytes of the grams of closer names.
 CLOSE = 40
-#: One gram in so many begins a chunk.
+#: One gram in so many begins a chunk; a power of two.
 CHUNK = 256
 #: Rows that a task compares among themselves before it sends them.
 HELD = 1 << 18
@@ -60,9 +60,12 @@ ROW = NAMED + ", b long"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX[0])
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(MIX[1])
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(MIX[0])
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(MIX[1])
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def _hashes(data: np.ndarray, n: int, base: int) -> np.ndarray:
@@ -119,7 +122,7 @@ def _digests(text: bytes, at: np.ndarray, end: np.ndarray, length: int, size: in
 def _chunks(text: bytes, data: np.ndarray, length: int, _: list) -> tuple[np.ndarray, ...]:
     """Digests (a, b) of the text's chunks, and the windows (at, end) that start in each."""
     windows = len(data) - length + 1
-    cuts = np.flatnonzero(_hashes(data, min(GRAM, length), BASES[1])[1:windows] % np.uint64(CHUNK) == 0) + 1
+    cuts = np.flatnonzero(_hashes(data, min(GRAM, length), BASES[1])[1:windows] & np.uint64(CHUNK - 1) == 0) + 1
     at, end = _split(np.append(0, cuts), np.append(cuts, windows), (1 << LONG) - 1)
     keys = _digests(text, at, end, length, 2)
     return keys[:, 0], keys[:, 1], at, end
@@ -174,10 +177,11 @@ def _part(data: np.ndarray, length: int, runs: list) -> tuple[np.ndarray, np.nda
 
 def _covered(n: int, ranges: list, more: int) -> np.ndarray:
     """Which of n places lie in the ranges (at, end), each ``more`` longer."""
+    if not len(ranges):
+        return np.zeros(n, bool)
     edge = np.zeros(n + 1, "i8")
-    if len(ranges):
-        np.add.at(edge, ranges[:, 0], 1)
-        np.add.at(edge, ranges[:, 1] + more, -1)
+    np.add.at(edge, ranges[:, 0], 1)
+    np.add.at(edge, ranges[:, 1] + more, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -194,35 +198,36 @@ def _ranges(column: pa.Array) -> list:
 def _dealt(a: np.ndarray, b: np.ndarray, doc: np.ndarray, k: np.ndarray, at: np.ndarray, end: np.ndarray, of: Callable) -> pa.RecordBatch:
     """The rows with the verdict where these rows alone tell it: a key is met in an earlier document, a name in any
     other. Of such rows those that others need not meet get a key of their own."""
-    order = np.lexsort((doc, b, a))
-    a, b, doc, k, at, end = (x[order] for x in (a, b, doc, k, at, end))
-    turn = a[1:] != a[:-1]
-    fresh = np.append(True, turn | (b[1:] != b[:-1]))
-    low = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-    verdict = np.zeros(len(a), "i4")
-    own = np.zeros(len(a), bool)
+    n = len(a)
+    verdict, own = np.zeros(n, "i4"), np.zeros(n, bool)
     if of not in (_runs, _closer):
-        verdict[doc > low] = GONE
-        own = verdict > 0
+        # Keys whose mixtures are alike by chance may stand among each other: such rows keep their keys and meet later.
+        order = np.argsort(a.view("u8") ^ _mixed(b.view("u8")))
+        x, y = a[order], b[order]
+        first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        low = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, n)))
+        own[order] = doc[order] > low
+        verdict[own] = GONE
     if of in (_runs, _same, _closer):
         # Rows of names that several documents have, those that are gone left out.
         left = np.flatnonzero(~own)
         left = left[np.lexsort((doc[left], a[left]))]
-        head = np.append(True, a[left][1:] != a[left][:-1])
-        group, first = np.cumsum(head) - 1, np.flatnonzero(head)
-        last = np.append(first[1:], len(left)) - 1
-        shared = (doc[left[first]] < doc[left[last]])[group]
-        verdict[left[shared]] = COMPARE
-        nth = np.arange(len(left))
-        own[left[shared & (nth - first[group] >= KEPT) & (nth < last[group])]] = True
-    mine = _mixed(a.view("u8") ^ _mixed(_mixed(doc.view("u8")) + at.astype("u8")))
-    if of in (_runs, _closer):
-        mine >>= np.uint64(16)
-    a = np.where(own, mine.view("i8"), a)
-    back = np.lexsort((at, k, doc))
+        x, y = a[left], doc[left]
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        sizes = np.diff(np.append(first, len(left)))
+        last = first + sizes - 1
+        shared = y[first] < y[last]
+        verdict[left[np.repeat(shared, sizes)]] = COMPARE
+        many = np.flatnonzero(shared & (sizes > KEPT + 1))
+        middle = sizes[many] - KEPT - 1
+        nth = np.arange(middle.sum()) - np.repeat(np.cumsum(middle) - middle, middle)
+        own[left[np.repeat(first[many] + KEPT, middle) + nth]] = True
+    at_own = np.flatnonzero(own)
+    mine = _mixed(a[at_own].view("u8") ^ _mixed(_mixed(doc[at_own].view("u8")) + at[at_own].astype("u8")))
+    a[at_own] = (mine >> np.uint64(16 if of in (_runs, _closer) else 0)).view("i8")
     pos = at << (LONG if of is _chunks else SHORT) | (end - at)
     columns = {"a": a, "pos": pos, "doc_id": doc, "k": k, "verdict": verdict} | ({} if of in (_runs, _closer) else {"b": b})
-    return pa.RecordBatch.from_pydict({c: pa.array(x[back]) for c, x in columns.items()})
+    return pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in columns.items()})
 
 
 def _strings(rows: DataFrame, of: Callable, length: int) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -332,3 +333,33 @@ def test_html_keeps_the_article_in_any_wrapper():
     assert lines("<article><p>x</p><div class='comments'><article>no</article></div></article><div id='comment-list'>no</div><div class='nav-menu'>no</div>") == ["x"]
     assert lines("<html><head><title>t</title><body><p>x</p><nav>no</nav></body></html>") == ["x"]
     assert lines("<head><meta charset=x><style>s</style><p>x") == ["x"] and lines("<head><title>t</title></head><p>x") == ["x"]
+
+
+@pytest.mark.parametrize("name, sorts", [("_chunks", 1), ("_runs", 1), ("_same", 2), ("_closer", 1), ("_windows", 1)])
+def test_substring_dedup_sorts_the_rows_of_a_task_once_for_each_verdict(monkeypatch, name, sorts):
+    of, named, kinds = getattr(substring_dedup, name), name in ("_runs", "_closer"), ("_runs", "_same", "_closer")
+    rng, n, calls = np.random.default_rng(4), 3000, []
+    a, doc = rng.integers(0, 200, n) ** 2, np.sort(rng.integers(0, 40, n))
+    b = np.zeros(n, "i8") if named else rng.integers(0, 3, n)
+    for f in ("lexsort", "argsort"):
+        monkeypatch.setattr(substring_dedup.np, f, lambda x, f=getattr(np, f): calls.append(len(x)) or f(x))
+    got = substring_dedup._dealt(a.copy(), b, doc, doc, np.arange(n), np.arange(n) + 1, of).to_pydict()
+    assert len(calls) == sorts
+    monkeypatch.undo()
+    bits = substring_dedup.LONG if name == "_chunks" else substring_dedup.SHORT
+    assert [x >> bits for x in got["pos"]] == list(range(n)) and got["doc_id"] == doc.tolist()
+    keys = list(zip(a.tolist(), b.tolist()))
+    low, docs = {}, {}
+    for key, d in zip(keys, doc.tolist()):
+        low[key] = min(d, low.get(key, d))
+    gone = [not named and d > low[key] for key, d in zip(keys, doc.tolist())]
+    for (x, _), d, g in zip(keys, doc.tolist(), gone):
+        docs.setdefault(x, set()).update(() if g else {d})
+    want = [1 if g else 2 if name in kinds and len(docs[x]) > 1 else 0 for (x, _), g in zip(keys, gone)]
+    assert got["verdict"] == want
+    kept = [x == y for x, y in zip(got["a"], a.tolist())]
+    assert all(k or v for k, v in zip(kept, want))
+    left = {}
+    for (x, _), d, k in zip(keys, doc.tolist(), kept):
+        left.setdefault(x, set()).update({d} if k else ())
+    assert name not in kinds or all({min(v), max(v)} <= left[x] for x, v in docs.items() if v)
