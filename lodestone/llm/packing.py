@@ -35,9 +35,9 @@ END = 2
 #: Remainders packed together by one task.
 GROUP = 50_000
 #: Bytes and texts tokenised at a time.
-CHUNK, TEXTS = 1 << 23, 2048
+CHUNK, TEXTS = 1 << 22, 1024
 #: Words whose ids a task remembers before it keeps only those at hand; of parts of words half as many.
-WORDS = 1_000_000
+WORDS = 500_000
 #: Parts of words encoded as one text.
 JOINED = 256
 #: What a piece holds.
