@@ -129,12 +129,12 @@ def directional_distribution(points: DataFrame, statistic: str, weight: str | No
     return found.select("group", x.alias("center_x"), y.alias("center_y"), F.degrees(angle).alias("rotation"), (F.sqrt("_l1") * n_std).alias("semi_major"), (F.sqrt("_l2") * n_std).alias("semi_minor"), F.lit(float(n_std)).alias("n_std"))
 
 
-def linear_directional_mean(lines: DataFrame, case: str | None = None, orientation_only: bool = False) -> DataFrame:
+def linear_directional_mean(lines: DataFrame, case: str | None = None, orientation_only: bool = False, keep_points: bool = False) -> DataFrame:
     """Per case of lines (x0, y0, x1, y1) the mean compass bearing, circular variance, mean length and number; with
-    ``orientation_only`` opposite directions count as one. Lines without length are passed over."""
+    ``orientation_only`` opposite directions count as one. Lines without length are passed over, or with ``keep_points`` point east."""
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     fold = 2.0 if orientation_only else 1.0
-    rows = lines.withColumn("_len", F.sqrt(dx * dx + dy * dy)).where("_len > 0").withColumn("_a", F.atan2(dy, dx) * fold)
+    rows = lines.withColumn("_len", F.sqrt(dx * dx + dy * dy)).where("_len >= 0" if keep_points else "_len > 0").withColumn("_a", F.atan2(dy, dx) * fold)
     found = rows.groupBy(F.lit("ALL").alias("case") if case is None else F.col(case).cast("string").alias("case")).agg(
         F.sum(F.sin("_a")).alias("_s"), F.sum(F.cos("_a")).alias("_c"), F.avg("_len").alias("mean_len"), F.count("*").alias("n")
     )
