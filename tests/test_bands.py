@@ -50,6 +50,16 @@ def moments(w, v):
     return s0, s1, s2, z @ w @ z
 
 
+@pytest.mark.usefixtures("no_pairs")
+def test_hot_spots_without_pairs(spark):
+    rows = crowd()
+    got = {r.fid: r.GiZScore for r in N.hot_spots(frame(spark, [*rows, (999, None, 1.0, 5.0)]), "v", BAND).collect()}
+    v, near = np.array([r[3] for r in rows]), (far(rows) <= BAND) + np.eye(len(rows))
+    n, w = len(rows), near.sum(1)
+    z = (near @ v - v.mean() * w) / (v.std() * np.sqrt((n * w - w * w) / (n - 1)))
+    assert [got[r[0]] for r in rows] == pytest.approx(list(z)) and len(got) == n
+
+
 @pytest.mark.usefixtures("no_pairs")
 @pytest.mark.parametrize("estimator", ["mean", "median", "min", "max", "temporal_trend"])
 def test_filling_within_a_radius_and_window_without_pairs(spark, estimator):
