@@ -60,6 +60,26 @@ def test_hot_spots_without_pairs(spark):
     assert [got[r[0]] for r in rows] == pytest.approx(list(z)) and len(got) == n
 
 
+@pytest.mark.usefixtures("no_pairs")
+@pytest.mark.parametrize("standardize", [True, False])
+@pytest.mark.parametrize("method,exponent", [("fixed_distance_band", 1.0), ("inverse_distance", 1.0), ("inverse_distance", 2.0)])
+def test_moran_under_distance_bands_without_pairs(spark, method, exponent, standardize):
+    rows = crowd()
+    options = {"method": method, "threshold": BAND, "exponent": exponent, "standardize": standardize}
+    got = N.compare_spatial_weights(frame(spark, rows), ["v"], {"m": options}).first()
+    d, v, n = far(rows), np.array([r[3] for r in rows]), len(rows)
+    w = np.where(d <= BAND, 1.0, 0.0)
+    if method == "inverse_distance":
+        w = np.where((d <= BAND) & (d > 0), 1 / np.maximum(d, 1e-9) ** exponent, 0.0)
+    links = (w > 0).sum()
+    if standardize:
+        w = w / np.maximum(w.sum(1, keepdims=True), 1e-300)
+    s0, s1, s2, cross = moments(w, v)
+    i, expected = n / s0 * cross / (v.var() * n), -1 / (n - 1)
+    variance = (n * n * s1 - n * s2 + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - expected**2
+    assert (got.morans_i, got.z_score, got.mean_neighbors) == pytest.approx((i, (i - expected) / math.sqrt(variance), links / n))
+
+
 @pytest.mark.usefixtures("no_pairs")
 @pytest.mark.parametrize("estimator", ["mean", "median", "min", "max", "temporal_trend"])
 def test_filling_within_a_radius_and_window_without_pairs(spark, estimator):
