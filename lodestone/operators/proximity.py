@@ -169,19 +169,17 @@ def generate_near_table(inputs: DataFrame, near: DataFrame, radius: float | None
     all, by distance and then near_fid; the angle is counter-clockwise from east. With ``same`` no point meets itself."""
     if radius is None and not closest_count:
         raise ValueError("give a radius or a closest_count")
-    a = inputs.select(F.col("fid").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"))
-    b = near.select(F.col("fid").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"))
-    if radius is None:
-        met = knn(inputs, closest_count, None if same else near)
+    rank = F.col("rank")
+    if closest_count:
+        met = knn(inputs, closest_count, None if same else near, limit=radius)
     else:
-        met = pairs_within(a, b, radius)
+        met = pairs_within(_side(inputs, "a"), _side(near, "b"), radius)
         met = met.where("a_id <> b_id") if same else met
-    rank = F.row_number().over(Window.partitionBy("a_id").orderBy("dist", "b_id")).cast("long")
-    out = met.select(
+        rank = F.row_number().over(Window.partitionBy("a_id").orderBy("dist", "b_id")).cast("long")
+    return met.select(
         F.col("a_id").alias("in_fid"), F.col("b_id").alias("near_fid"), F.col("dist").alias("near_dist"), rank.alias("near_rank"),
         F.col("b_x").alias("near_x"), F.col("b_y").alias("near_y"), F.degrees(F.atan2(F.col("b_y") - F.col("a_y"), F.col("b_x") - F.col("a_x"))).alias("near_angle"),
     )
-    return out.where(F.col("near_rank") <= closest_count) if closest_count else out
 
 
 def generate_od_links(origins: DataFrame, destinations: DataFrame, radius: float | None = None, by_link: bool = False, num_nearest: int | None = None) -> DataFrame:

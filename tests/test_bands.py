@@ -96,3 +96,10 @@ def test_filling_within_a_radius_and_window_without_pairs(spark, estimator):
         slope = ((at - at.mean()) @ (u - u.mean())) / ((at - at.mean()) @ (at - at.mean())) if np.ptp(at) else 0.0
         want = {"mean": u.mean(), "median": np.median(u), "min": u.min(), "max": u.max(), "temporal_trend": u.mean() + slope * ((t or 0.0) - at.mean())}
         assert got[i] == pytest.approx((want[estimator], 1))
+
+
+@pytest.mark.usefixtures("no_pairs")
+def test_near_tables_take_the_nearest_within_a_radius_without_pairs(spark):
+    rows, own = crowd(), crowd(80, 5)
+    got = sorted((r.in_fid, r.near_rank, r.near_fid) for r in P.generate_near_table(frame(spark, own), frame(spark, rows), 4.0, 3).collect())
+    assert got == sorted((i, k + 1, j) for i, met in nearest(own, rows).items() for k, (d, j) in enumerate(met[:3]) if d <= 4.0)
