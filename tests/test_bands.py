@@ -80,6 +80,18 @@ def test_moran_under_distance_bands_without_pairs(spark, method, exponent, stand
     assert (got.morans_i, got.z_score, got.mean_neighbors) == pytest.approx((i, (i - expected) / math.sqrt(variance), links / n))
 
 
+@pytest.mark.usefixtures("no_pairs")
+@pytest.mark.parametrize("standardize", [True, False])
+def test_general_g_without_pairs(spark, standardize):
+    rows = crowd()
+    got = N.getis_ord_general_g(frame(spark, rows), "v", BAND, standardize=standardize).first()
+    v, w = np.array([r[3] for r in rows]), (far(rows) <= BAND) * 1.0
+    if standardize:
+        w = w / np.maximum(w.sum(1, keepdims=True), 1e-300)
+    below = v.sum() ** 2 - (v * v).sum()
+    assert (got.observed_g, got.expected_g) == pytest.approx((v @ w @ v / below, w.sum() / (len(v) * (len(v) - 1))))
+
+
 @pytest.mark.usefixtures("no_pairs")
 @pytest.mark.parametrize("estimator", ["mean", "median", "min", "max", "temporal_trend"])
 def test_filling_within_a_radius_and_window_without_pairs(spark, estimator):
