@@ -269,11 +269,11 @@ def group_by_proximity(points: DataFrame, distance: float, attribute: str | None
 def summarize_nearby(points: DataFrame, summary: DataFrame, distances: list[float], fields: list[str] = ()) -> DataFrame:
     """Per input point and distance the count of the summary points (fid, x, y, fields) within it, and the sum and mean of
     their fields, a missing value counting as 0. Rings without points have zeros."""
-    b = summary.select(F.col("fid").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in fields))
-    reach = F.array(*(F.lit(float(d)) for d in distances))
-    met = pairs_within(_side(points, "a"), b, max(distances)).select("a_id", F.explode(F.filter(reach, lambda d: d >= F.col("dist"))).alias("distance"), *fields)
-    rings = met.groupBy("a_id", "distance").agg(F.count("*").alias("count"), *(F.sum(f).alias(f"sum_{f}") for f in fields))
-    every = points.select(F.col("fid").alias("a_id"), F.explode(reach).alias("distance")).join(rings, ["a_id", "distance"], "left")
+    reach = [float(d) for d in distances]
+    met = sums_within(points, summary.select("x", "y", F.lit(1.0).alias("_count"), *fields), reach, ["_count", *fields])
+    rings = F.array(*(F.struct(F.lit(d).alias("distance"), F.col(f"_count_{n}").alias("count"), *(F.col(f"{f}_{n}").alias(f"sum_{f}") for f in fields)) for n, d in enumerate(reach)))
+    placed = points.select(F.col("fid").alias("a_id"), finite("x").alias("x"), finite("y").alias("y"))
+    every = placed.join(met, ["x", "y"], "left").select("a_id", F.inline(rings))
     sums = [F.coalesce(f"sum_{f}", F.lit(0.0)).alias(f"sum_{f}") for f in fields]
-    means = [F.coalesce(F.col(f"sum_{f}") / F.col("count"), F.lit(0.0)).alias(f"mean_{f}") for f in fields]
+    means = [F.coalesce(F.try_divide(f"sum_{f}", "count"), F.lit(0.0)).alias(f"mean_{f}") for f in fields]
     return every.select(F.col("a_id").cast("string").alias("input_id"), "distance", F.coalesce("count", F.lit(0)).cast("long").alias("count"), *sums, *means)

@@ -92,6 +92,24 @@ def test_general_g_without_pairs(spark, standardize):
     assert (got.observed_g, got.expected_g) == pytest.approx((v @ w @ v / below, w.sum() / (len(v) * (len(v) - 1))))
 
 
+@pytest.mark.usefixtures("no_pairs")
+def test_nearby_summaries_without_pairs(spark):
+    rows, own = crowd(), crowd(60, 5)
+    values = frame(spark, [*rows, (900, 7.0, 8.0, None), (901, None, 8.0, 3.0)])
+    got = {(r.input_id, r.distance): (r["count"], r.sum_v, r.mean_v) for r in P.summarize_nearby(frame(spark, [*own, (70, None, None, 1.0), (71, 9e3, 9e3, 1.0)]), values, [3.0, BAND], ["v"]).collect()}
+    for i, x, y, _ in own:
+        for at in (3.0, BAND):
+            met = [r[3] for r in [*rows, (900, 7.0, 8.0, 0.0)] if math.sqrt((r[1] - x) ** 2 + (r[2] - y) ** 2) <= at]
+            assert got[str(i), at] == pytest.approx((len(met), sum(met), sum(met) / len(met) if met else 0.0))
+    assert got["70", 3.0] == got["71", BAND] == (0, 0.0, 0.0) and len(got) == 2 * len(own) + 4
+
+
+def test_a_summary_value_that_is_no_number_counts_only_where_it_is_near(spark):
+    values = frame(spark, [(1, 0.0, 0.0, float("nan")), (2, 1.0, 0.0, 2.0), (3, 2.0, 0.0, 4.0)])
+    got = {r.input_id: r.sum_v for r in P.summarize_nearby(values.where("fid > 1"), values, [1.0], ["v"]).collect()}
+    assert math.isnan(got["2"]) and got["3"] == 6.0
+
+
 @pytest.mark.usefixtures("no_pairs")
 @pytest.mark.parametrize("estimator", ["mean", "median", "min", "max", "temporal_trend"])
 def test_filling_within_a_radius_and_window_without_pairs(spark, estimator):
