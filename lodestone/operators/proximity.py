@@ -1,6 +1,6 @@
 """Joins of points by distance, through a grid of cells as large as the search radius or a part of it: a point's partners lie in
 its own cell or those around it, so the second side is sent to all of these and joined by cell. No side is
-broadcast or crossed; a crowded cell is split by the adaptive skew join. What needs no table of pairs, nearest neighbours and
+broadcast or crossed; a crowded cell is dealt into chunks. What needs no table of pairs, nearest neighbours and
 sums over neighbours, is worked out by numpy in blocks of the plane."""
 
 from __future__ import annotations
@@ -21,18 +21,29 @@ from ..functions.storage import stored
 from .table import finite
 
 
+#: Cells of more points of the first side are dealt into chunks, each of which gets the second side anew.
+CELL_POINTS = 4096
+
+
 def pairs_within(first: DataFrame, second: DataFrame, radius: float, on: list[str] = (), parts: int = 1) -> DataFrame:
     """Pairs of points (a_id, a_x, a_y) and (b_id, b_x, b_y) at most ``radius`` apart, with their dist; further
     columns come along, and those of ``on`` must be equal and not null. Cells of a ``parts``-th of the radius leave fewer pairs
-    to pass over and spread the work, but the second side is sent to (2 * parts + 1) ** 2 of them."""
+    to pass over and spread the work, but the second side is sent to (2 * parts + 1) ** 2 of them.
+
+    Small files are large tables once they have met, so neither side is broadcast and no partitions are merged for their size."""
     if radius <= 0:
         raise ValueError("the radius must be positive")
     size, steps = wider(radius) / parts, F.array(*(F.lit(d) for d in range(-parts, parts + 1)))
+    keys, tasks = ["_cx", "_cy", *on], int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a = first.withColumn("_cx", cell(F.col("a_x"), size)).withColumn("_cy", cell(F.col("a_y"), size))
     sent = second.select("*", F.explode(steps).alias("_dx")).select("*", F.explode(steps).alias("_dy"))
     sent = sent.withColumn("_cx", cell(F.col("b_x"), size) + F.col("_dx")).withColumn("_cy", cell(F.col("b_y"), size) + F.col("_dy")).drop("_dx", "_dy")
+    chunks = a.groupBy(*keys).agg(F.ceil(F.count("*") / CELL_POINTS).cast("long").alias("_k"))
+    a = a.join(chunks, keys).withColumn("_part", F.pmod(F.xxhash64("a_id"), "_k")).drop("_k")
+    sent = sent.join(chunks, keys).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).drop("_k")
+    keys = [*keys, "_part"]
     dx, dy = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y")
-    met = a.join(sent, ["_cx", "_cy", *on]).drop("_cx", "_cy")
+    met = a.repartition(tasks, *keys).hint("merge").join(sent.repartition(tasks, *keys), keys).drop("_cx", "_cy", "_part")
     return met.withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") <= radius)
 
 
@@ -186,19 +197,16 @@ def generate_od_links(origins: DataFrame, destinations: DataFrame, radius: float
     """Links of origins (fid, x, y, link) to destinations by equal link ids, within ``radius``, or both; then the
     ``num_nearest`` of each origin, ties in the order of the destinations; with neither, the ``num_nearest`` or
     the one nearest of all. Missing ids never match."""
-    if radius is None and not by_link:
-        near = knn(origins, num_nearest or 1, destinations)
-        return near.select(F.col("a_id").alias("origin_id"), F.col("b_id").alias("dest_id"), F.col("dist").alias("length"))
     more = ["link"] if by_link else []
-    a = origins.select(F.col("fid").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), *more)
-    b = destinations.select(F.col("fid").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *more)
-    if radius is not None:
-        met = pairs_within(a, b, radius, more)
+    if num_nearest is not None or not (by_link or radius is not None):
+        met = knn(origins, num_nearest or 1, destinations, on=more, limit=radius)
+    elif radius is not None:
+        met = pairs_within(_side(origins, "a", more), _side(destinations, "b", more), radius, more)
     else:
         dx, dy = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y")
+        a = origins.select(F.col("fid").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), *more)
+        b = destinations.select(F.col("fid").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *more)
         met = a.join(b, "link").withColumn("dist", F.sqrt(dx * dx + dy * dy))
-    if num_nearest is not None:
-        met = met.withColumn("_k", F.row_number().over(Window.partitionBy("a_id").orderBy("dist", "b_id"))).where(F.col("_k") <= num_nearest)
     return met.select(F.col("a_id").alias("origin_id"), F.col("b_id").alias("dest_id"), F.col("dist").alias("length"), *(F.col(c).alias("link_id") for c in more))
 
 

@@ -133,3 +133,11 @@ def test_near_tables_take_the_nearest_within_a_radius_without_pairs(spark):
     rows, own = crowd(), crowd(80, 5)
     got = sorted((r.in_fid, r.near_rank, r.near_fid) for r in P.generate_near_table(frame(spark, own), frame(spark, rows), 4.0, 3).collect())
     assert got == sorted((i, k + 1, j) for i, met in nearest(own, rows).items() for k, (d, j) in enumerate(met[:3]) if d <= 4.0)
+
+
+@pytest.mark.usefixtures("no_pairs")
+def test_links_take_the_nearest_of_their_id_without_pairs(spark):
+    rows, own = crowd(), crowd(80, 5)
+    origins, destinations = (frame(spark, r).selectExpr("fid", "x", "y", "IF(fid = 3, NULL, int(fid % 6)) AS link") for r in (own, rows))
+    got = sorted((r.origin_id, r.dest_id, r.link_id) for r in P.generate_od_links(origins, destinations, by_link=True, num_nearest=2).collect())
+    assert got == sorted((i, j, i % 6) for i, met in nearest(own, rows).items() if i != 3 for _, j in [m for m in met if m[1] % 6 == i % 6 and m[1] != 3][:2])
