@@ -141,3 +141,12 @@ def test_links_take_the_nearest_of_their_id_without_pairs(spark):
     origins, destinations = (frame(spark, r).selectExpr("fid", "x", "y", "IF(fid = 3, NULL, int(fid % 6)) AS link") for r in (own, rows))
     got = sorted((r.origin_id, r.dest_id, r.link_id) for r in P.generate_od_links(origins, destinations, by_link=True, num_nearest=2).collect())
     assert got == sorted((i, j, i % 6) for i, met in nearest(own, rows).items() if i != 3 for _, j in [m for m in met if m[1] % 6 == i % 6 and m[1] != 3][:2])
+
+
+def test_space_time_matches_are_joined_once(spark, monkeypatch):
+    from lodestone.plans import catalogue
+
+    calls, pairs = [], P.pairs_within
+    monkeypatch.setattr(P, "pairs_within", lambda *a, **k: calls.append(1) or pairs(*a, **k))
+    catalogue.QUERIES["find_space_time_matches"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
