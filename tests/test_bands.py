@@ -110,6 +110,25 @@ def test_a_summary_value_that_is_no_number_counts_only_where_it_is_near(spark):
     assert math.isnan(got["2"]) and got["3"] == 6.0
 
 
+@pytest.mark.usefixtures("no_pairs")
+@pytest.mark.parametrize("weights", ["uniform", "inverse_distance"])
+def test_neighbourhood_statistics_without_pairs(spark, weights):
+    rows = [(i, x, y, None if i % 9 == 0 else v) for i, x, y, v in crowd()] + [(950, 5e3, 5e3, 1.0)]
+    got = {r.fid: r for r in N.neighborhood_summary_statistics(frame(spark, rows), ["v"], distance=BAND, weights=weights).collect()}
+    d = far(rows)
+    for k, (i, *_) in enumerate(rows):
+        near = [j for j in range(len(rows)) if d[k, j] <= BAND]
+        known = [j for j in near if rows[j][3] is not None]
+        assert got[i].nbr_count == len(near)
+        if not known:
+            assert (got[i].v_nbr_mean, got[i].v_nbr_median, got[i].v_nbr_sum) == (None, None, 0.0)
+            continue
+        v, w = np.array([rows[j][3] for j in known]), np.array([1.0 if weights == "uniform" else 1e9 if d[k, j] <= 1e-9 else 1 / d[k, j] for j in known])
+        mean = (w @ v) / w.sum()
+        want = (mean, np.median(v), math.sqrt((w @ (v - mean) ** 2) / w.sum()), v.min(), v.max(), v.sum())
+        assert tuple(got[i][f"v_nbr_{s}"] for s in ("mean", "median", "std", "min", "max", "sum")) == pytest.approx(want, abs=1e-6)
+
+
 @pytest.mark.usefixtures("no_pairs")
 @pytest.mark.parametrize("estimator", ["mean", "median", "min", "max", "temporal_trend"])
 def test_filling_within_a_radius_and_window_without_pairs(spark, estimator):
