@@ -92,6 +92,16 @@ def test_general_g_without_pairs(spark, standardize):
     assert (got.observed_g, got.expected_g) == pytest.approx((v @ w @ v / below, w.sum() / (len(v) * (len(v) - 1))))
 
 
+@pytest.mark.usefixtures("no_pairs")
+def test_incremental_autocorrelation_without_pairs(spark):
+    rows = crowd()
+    got = N.incremental_spatial_autocorrelation(frame(spark, rows), "v", 4.0, 5.0, 3).orderBy("distance").collect()
+    d, v, n = far(rows), np.array([r[3] for r in rows]), len(rows)
+    for r, at in zip(got, (4.0, 9.0, 14.0)):
+        s0, _, _, cross = moments((d <= at) * 1.0, v)
+        assert (r.distance, r.morans_i) == pytest.approx((at, n / s0 * cross / (v.var() * n)))
+
+
 @pytest.mark.usefixtures("no_pairs")
 def test_nearby_summaries_without_pairs(spark):
     rows, own = crowd(), crowd(60, 5)
