@@ -260,20 +260,62 @@ def dissolve_route_events(df: DataFrame, route: str, start: str, end: str, field
 def group_by_proximity(points: DataFrame, distance: float, attribute: str | None = None, group_field: str = "GROUP_ID") -> DataFrame:
     """Points (fid, x, y, ...) with the 0-based number of their group: those that steps of at most ``distance`` join, of equal
     values of ``attribute`` if that is given. Groups are numbered by their least fid; a null attribute is in no other's group."""
+    if distance <= 0:
+        raise ValueError("the distance must be positive")
     on = [attribute] if attribute else []
-    more = [F.col(c) for c in on]
-    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
-    a = points.where(placed).select(F.col("fid").alias("a_id"), F.col("x").alias("a_x"), F.col("y").alias("a_y"), *more)
-    b = points.where(placed).select(F.col("fid").alias("b_id"), F.col("x").alias("b_x"), F.col("y").alias("b_y"), *more)
-    roots = components(pairs_within(a, b, distance, on).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    # Points of one cell are all within the distance, so a cell is one node, and only whether cells hold a near pair is asked.
+    size, cells = distance / math.sqrt(2.0) * (1 - 1e-9), [*on, "_cx", "_cy"]
+    celled = points.withColumn("_cx", cell(finite("x"), size)).withColumn("_cy", cell(finite("y"), size))
+    placed = reduce(Column.__and__, [F.col(c).isNotNull() for c in cells])
+    nodes = stored(celled.where(placed).groupBy(*cells).agg(F.min("fid").alias("node")), "nodes")
+    rows = celled.where(placed).select(*cells, finite("x").alias("x"), finite("y").alias("y")).distinct().join(nodes, cells)
+    a, b = (stored(rows.select(F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y"), F.col("_cx").alias(f"{s}_cx"), F.col("_cy").alias(f"{s}_cy"), F.col("node").alias(f"{s}_node"), *on), "points") for s in "ab")
+    kind = dict(a.dtypes)["a_node"]
+    roots = components(met_in_blocks(a, b, distance, _linked(distance), f"a {kind}, b {kind}", on))
     if roots is None:
-        rooted = points.withColumn("_root", F.col("fid"))
+        rooted = celled.join(nodes, cells, "left").withColumn("_root", F.coalesce("node", "fid")).drop("node")
     else:
-        rooted = points.join(roots.toDF("fid", "_r"), "fid", "left").withColumn("_root", F.coalesce("_r", "fid")).drop("_r")
+        nodes = nodes.join(roots.toDF("node", "_r"), "node", "left").select(*cells, F.coalesce("_r", "node").alias("_r"))
+        rooted = celled.join(nodes, cells, "left").withColumn("_root", F.coalesce("_r", "fid")).drop("_r")
+    rooted = rooted.select(*points.columns, "_root")
     numbers = global_row_number(rooted.select("_root").distinct(), [F.col("_root")], group_field)
     return rooted.join(numbers, "_root").withColumn(group_field, F.col(group_field) - 1).drop("_root")
 
 
+def _linked(distance: float):
+    """What finds in a block the pairs of different nodes that hold points at most ``distance`` apart."""
+    limit = square_limit(float(distance))
+
+    def near(ax, ay, bx, by) -> bool:
+        # Only points that the box around the other side's can reach.
+        apart = [np.maximum(np.maximum(q.min() - p, p - q.max()), 0.0) <= distance * (1 + 1e-9) for p, q in ((ax, bx), (ay, by), (bx, ax), (by, ay))]
+        ax, ay, bx, by = ax[apart[0] & apart[1]], ay[apart[0] & apart[1]], bx[apart[2] & apart[3]], by[apart[2] & apart[3]]
+        return len(ax) > 0 and len(bx) > 0 and any((d <= limit).any() for _, d in squares(ax, ay, bx, by))
+
+    def find(a, b, met):
+        ax, ay, bx, by, acx, acy, bcx, bcy = (column(t, f"{s}_{c}") for names in (("x", "y"), ("cx", "cy")) for t, s in ((a, "a"), (b, "b")) for c in names)
+        ids = pa.chunked_array(a.column("a_node").chunks + b.column("b_node").chunks, a.schema.field("a_node").type).combine_chunks().dictionary_encode()
+        code = ids.indices.to_numpy(zero_copy_only=False)
+        na, nb = code[: len(a)], code[len(a) :]
+        found = set()
+        for at, slices in met:
+            to = np.concatenate([np.arange(s.start, s.stop) for s in slices])
+            to = to[np.argsort(nb[to], kind="stable")]
+            own = np.arange(at.start, at.stop)[np.argsort(na[at], kind="stable")]
+            theirs = np.split(to, np.flatnonzero(np.diff(nb[to])) + 1)
+            for mine in np.split(own, np.flatnonzero(np.diff(na[own])) + 1):
+                x, y, i = acx[mine[0]], acy[mine[0]], na[mine[0]]
+                for other in theirs:
+                    dx, dy, j = bcx[other[0]] - x, bcy[other[0]] - y, nb[other[0]]
+                    # The pair is met from the other side too, and maybe in other cells.
+                    if (dx, dy) > (0, 0) and dx <= 2 and abs(dy) <= 2 and (i, j) not in found and near(ax[mine], ay[mine], bx[other], by[other]):
+                        found.add((i, j))
+        p, q = (np.array([e[n] for e in found], "int64") for n in (0, 1))
+        return pa.table([ids.dictionary.take(pa.array(p)), ids.dictionary.take(pa.array(q))], ["a", "b"])
+
+    return find
+
+
 def summarize_nearby(points: DataFrame, summary: DataFrame, distances: list[float], fields: list[str] = ()) -> DataFrame:
     """Per input point and distance the count of the summary points (fid, x, y, fields) within it, and the sum and mean of
     their fields, a missing value counting as 0. Rings without points have zeros."""

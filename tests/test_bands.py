@@ -172,6 +172,21 @@ def test_links_take_the_nearest_of_their_id_without_pairs(spark):
     assert got == sorted((i, j, i % 6) for i, met in nearest(own, rows).items() if i != 3 for _, j in [m for m in met if m[1] % 6 == i % 6 and m[1] != 3][:2])
 
 
+@pytest.mark.usefixtures("no_pairs")
+@pytest.mark.parametrize("distance", [0.6, 2.0, 9.0])
+def test_groups_by_proximity_without_pairs(spark, distance):
+    rows = [(i, x, y, float(i % 2)) for i, x, y, _ in crowd()] + [(950, None, 1.0, 1.0), (951, 7.0, 7.0, None), (952, 7.0 + distance, 7.0, 0.0)]
+    root, d = list(range(len(rows))), far([(i, math.nan if x is None else x, y, v) for i, x, y, v in rows])
+    while True:
+        new = [min([root[k], *(root[j] for j in range(len(rows)) if d[k, j] <= distance and rows[k][3] == rows[j][3] is not None)]) for k in range(len(rows))]
+        if new == root:
+            break
+        root = new
+    number = {r: n for n, r in enumerate(sorted(set(root)))}
+    got = {r.fid: r.GROUP_ID for r in P.group_by_proximity(frame(spark, rows), distance, "v").collect()}
+    assert got == {r[0]: number[root[k]] for k, r in enumerate(rows)}
+
+
 def test_space_time_matches_are_joined_once(spark, monkeypatch):
     from lodestone.plans import catalogue
 
