@@ -172,6 +172,15 @@ def test_links_take_the_nearest_of_their_id_without_pairs(spark):
     assert got == sorted((i, j, i % 6) for i, met in nearest(own, rows).items() if i != 3 for _, j in [m for m in met if m[1] % 6 == i % 6 and m[1] != 3][:2])
 
 
+@pytest.mark.usefixtures("no_pairs")
+def test_the_band_and_outliers_of_a_crowd_at_one_place_without_pairs(spark):
+    rows = [(i, 1.0, 1.0, 0.0) for i in range(3000)] + [(3000 + i, 5.0 + i, 5.0, 0.0) for i in range(4)]
+    got = {r.feature_id: r.kth_neighbor_distance for r in N.calculate_distance_band(frame(spark, rows), 2).collect()}
+    assert len(got) == 3004 and {got[i] for i in range(3000)} == {0.0} and (got[3000], got[3001], got[3003]) == (2.0, 1.0, 2.0)
+    found = {r.fid: (r.lof, r.is_outlier) for r in N.spatial_outlier_detection(frame(spark, rows), 2, threshold=2.0).collect()}
+    assert {found[i] for i in range(3000)} == {(1.0, 0)} and len(found) == 3004
+
+
 @pytest.mark.usefixtures("no_pairs")
 @pytest.mark.parametrize("distance", [0.6, 2.0, 9.0])
 def test_groups_by_proximity_without_pairs(spark, distance):
