@@ -196,6 +196,17 @@ def test_groups_by_proximity_without_pairs(spark, distance):
     assert got == {r[0]: number[root[k]] for k, r in enumerate(rows)}
 
 
+def test_weights_of_a_band_are_not_sorted_by_origin(spark):
+    rows = crowd()
+    out = N.spatial_weights(frame(spark, rows), "inverse_distance", threshold=BAND)
+    assert "Window" not in out._jdf.queryExecution().toString()
+    d = far(rows)
+    w = np.where((d <= BAND) & (d > 0), 1 / np.maximum(d, 1e-300), 0.0)
+    w = w / np.maximum(w.sum(1, keepdims=True), 1e-300)
+    got = {(r.origin, r.neighbor): r.weight for r in out.collect()}
+    assert got == pytest.approx({(i, j): w[i, j] for i, j in zip(*(a.tolist() for a in np.nonzero(w)))})
+
+
 def test_space_time_matches_are_joined_once(spark, monkeypatch):
     from lodestone.plans import catalogue
 
